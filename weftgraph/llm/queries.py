@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import exact_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, suffix_dedup, token_store
+from weftgraph.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, secrets, substring_dedup, suffix_dedup, token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, sf_dir))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = exact_dedup.exact_dedup(_documents(spark, sf_dir))
     return done.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -54,6 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_personal_data,
         op2_exact_dedup,
         op3_token_store,
         op4_best_fit_packing,
