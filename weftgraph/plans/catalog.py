@@ -4,7 +4,357 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from weftgraph.functions import text as T
+from weftgraph.operators import evaluate, fusion, graph, ingest, keyword, scoring
+from weftgraph.functions.vector import nearest
+from weftgraph.plans import derived as D
+from weftgraph.plans.search import SearchParameters, rank_fused, recall, search
+from weftgraph.sources import store
+
+P = SearchParameters(as_of=D.AS_OF)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.active(D.propositions(spark, sf_dir))
+
+
+def _ranked(df: DataFrame, score: str) -> DataFrame:
+    return df.select("query_id", "prop_id", F.round(score, 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_RANKED = "SELECT query_id, prop_id, round({score}, 6) AS score, CAST(rank AS BIGINT) AS rank FROM {cte}"
+
+
+@query(D.sql("SELECT namespace, prop_id, lexeme, CAST(dl AS BIGINT) AS dl, CAST(tf AS BIGINT) AS tf FROM post", "post"))
+def tokenize_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = keyword.postings(_active(spark, sf_dir))
+    return p.select("namespace", "prop_id", "lexeme", F.col("dl").cast("long").alias("dl"), "tf")
+
+
+@query(D.sql("SELECT namespace, n_total, round(avgdl, 6) AS avgdl FROM stats", "stats"))
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = keyword.corpus_statistics(_active(spark, sf_dir))
+    return s.select("namespace", "n_total", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(D.sql("SELECT query_id, lexeme, df, round(idf_val, 6) AS idf_val FROM idf", "idf"))
+def doc_freq_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _active(spark, sf_dir)
+    found = keyword.inverse_frequencies(keyword.query_lexemes(D.queries(spark, sf_dir)), keyword.postings(rows), keyword.corpus_statistics(rows))
+    return found.select("query_id", "lexeme", "df", F.round("idf_val", 6).alias("idf_val"))
+
+
+@query(D.sql(_RANKED.format(score="bm25", cte="kw"), "kw"))
+def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), _active(spark, sf_dir), P.k_initial), "bm25")
+
+
+@query(D.sql(_RANKED.format(score="bm25", cte="kw_all"), "kw_all"))
+def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), _active(spark, sf_dir), P.k_initial, mode="all"), "bm25")
+
+
+@query()
+def cover_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(keyword.cover_density_search(D.queries(spark, sf_dir), _active(spark, sf_dir), P.k_initial), "density")
+
+
+@query()
+def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), _active(spark, sf_dir), P.k_initial, analyzer="english"), "bm25")
+
+
+@query(D.sql(_RANKED.format(score="distance", cte="vec"), "vec"))
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(nearest(_active(spark, sf_dir), D.queries(spark, sf_dir), P.k_initial), "distance")
+
+
+@query(D.sql("SELECT query_id, prop_id, round(rrf::DOUBLE, 6) AS rrf_score, in_kw, in_vec, CASE WHEN in_kw AND in_vec THEN 'both' WHEN in_kw THEN 'kw' WHEN in_vec THEN 'vec' ELSE 'graph' END AS source_kind FROM fused", "fused"))
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = rank_fused(D.queries(spark, sf_dir), _active(spark, sf_dir), P)
+    kind = fusion.source_kind(F.col("in_kw"), F.col("in_vec"))
+    return f.select("query_id", "prop_id", F.round(F.col("rrf_score").cast("double"), 6).alias("rrf_score"), "in_kw", "in_vec", kind.alias("source_kind"))
+
+
+@query(D.sql("SELECT query_id, count(*) AS found, count(*) FILTER (p.session_id IS NULL) AS without_session, count(DISTINCT p.session_id) AS sessions FROM fused f JOIN act p ON p.id = f.prop_id GROUP BY query_id", "fused"))
+def session_scoped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _active(spark, sf_dir)
+    f = rank_fused(D.queries(spark, sf_dir), rows, P).join(rows.select(F.col("id").alias("prop_id"), "session_id"), "prop_id")
+    return f.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("found"), F.count(F.when(F.col("session_id").isNull(), 1)).alias("without_session"), F.countDistinct("session_id").alias("sessions")
+    )
+
+
+@query(D.sql("SELECT namespace, count(*) AS active, count(embedding) AS with_embedding, count(subject_id) AS with_subject FROM act GROUP BY namespace", "act"))
+def active_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _active(spark, sf_dir)
+    return a.groupBy("namespace").agg(F.count(F.lit(1)).alias("active"), F.count("embedding").alias("with_embedding"), F.count("subject_id").alias("with_subject"))
+
+
+@query(
+    D.sql(
+        f"""SELECT id, round(exp(greatest(-({int(D.AS_OF.timestamp())} - coalesce(asserted_s, accessed_s))::DOUBLE / (86400.0::DOUBLE * 30.0), -87.0)), 9) AS decay,
+        round(1.0 + ln(1.0 + access_count::DOUBLE), 9) AS boost FROM act""",
+        "act",
+    )
+)
+def recency_frequency_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scoring.decay(F.lit(D.AS_OF), F.col("asserted_at"), F.col("last_accessed_at"), P.half_life_days)
+    return _active(spark, sf_dir).select("id", F.round(d, 9).alias("decay"), F.round(scoring.frequency_boost(F.col("access_count")), 9).alias("boost"))
+
+
+@query(D.sql("SELECT query_id, entity_id, round(best::DOUBLE, 6) AS best_rrf FROM seeds", "seeds"))
+def seed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _active(spark, sf_dir)
+    s = graph.seed_entities(store.cut(rank_fused(D.queries(spark, sf_dir), rows, P)), rows)
+    return s.select("query_id", "entity_id", F.round(F.col("best_rrf").cast("double"), 6).alias("best_rrf"))
+
+
+@query(D.sql("SELECT query_id, prop_id, round(rrf::DOUBLE, 6) AS rrf_score FROM near", "near"))
+def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, q = _active(spark, sf_dir), D.queries(spark, sf_dir)
+    fused = store.cut(rank_fused(q, rows, P))
+    n = graph.neighbours(q, fused, graph.seed_entities(fused, rows), D.edges(spark, sf_dir), rows)
+    return n.select("query_id", "prop_id", F.round(F.col("rrf_score").cast("double"), 6).alias("rrf_score"))
+
+
+@query(
+    D.sql(
+        """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, prop_id) AS rank, prop_id AS proposition_id, text,
+        round(rrf::DOUBLE, 6) AS rrf_score, round(adjusted::DOUBLE, 6) AS adjusted_score,
+        CASE WHEN in_kw AND in_vec THEN 'both' WHEN in_kw THEN 'kw' WHEN in_vec THEN 'vec' ELSE 'graph' END AS source_kind,
+        subject_id, predicate, object_id, asserted_s FROM scored QUALIFY rank <= 100""",
+        "scored",
+    )
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = search(D.queries(spark, sf_dir), _active(spark, sf_dir), D.edges(spark, sf_dir), P)
+    return s.select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "proposition_id", "text",
+        F.round(F.col("rrf_score").cast("double"), 6).alias("rrf_score"), F.round(F.col("adjusted_score").cast("double"), 6).alias("adjusted_score"),
+        "source_kind", "subject_id", "predicate", "object_id", F.unix_seconds("asserted_at").alias("asserted_s"),
+    )
+
+
+@query()
+def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = recall(D.queries(spark, sf_dir), _active(spark, sf_dir), D.edges(spark, sf_dir), k=20, parameters=P)
+    return r.select("query_id", "pick", "proposition_id", F.round("score", 6).alias("score"), "source_kind")
+
+
+@query()
+def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = recall(D.queries(spark, sf_dir), _active(spark, sf_dir), D.edges(spark, sf_dir), k=10, parameters=P, with_rerank=False, mmr_lambda=0.3)
+    return r.select("query_id", "pick", "proposition_id")
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: D.table(spark, sf_dir, name)
+    lines = t("lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    lines = lines.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = lines.join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return lines.groupBy(F.col("c_nationkey").alias("src_entity"), F.col("s_nationkey").alias("dst_entity")).agg(F.sum("l_quantity").alias("weight"))
+
+
+_TRADE = """t AS MATERIALIZED (
+  SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS weight
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  GROUP BY ALL)"""
+
+
+@query(f"WITH {_TRADE} SELECT src AS src_entity, dst AS dst_entity, weight FROM t")
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trade(spark, sf_dir)
+
+
+_STEPS = ",\n".join(
+    f"""p{i} AS MATERIALIZED (SELECT n.id, (1.0::DOUBLE - 0.85) / (SELECT count(*) FROM n) + 0.85::DOUBLE * coalesce(sum(p.score * t.weight / o.total), 0) AS score
+  FROM n LEFT JOIN t ON t.dst = n.id LEFT JOIN o ON o.src = t.src LEFT JOIN p{i - 1} p ON p.id = t.src GROUP BY n.id)"""
+    for i in range(1, 21)
+)
+
+
+@query(
+    f"""WITH {_TRADE}, n AS (SELECT n_nationkey AS id FROM nation), o AS MATERIALIZED (SELECT src, sum(weight) AS total FROM t GROUP BY src),
+p0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM n) AS score FROM n),
+{_STEPS} SELECT id AS entity_id, round(score, 6) AS score FROM p20"""
+)
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = D.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    return graph.pagerank(nodes, _trade(spark, sf_dir)).select("entity_id", F.round("score", 6).alias("score"))
+
+
+def _sql_trigrams(x: str) -> str:
+    words = rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
+    each = f"list_transform({words}, lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))"
+    return f"list_distinct(flatten({each}))"
+
+
+def _sql_similarity(a: str, b: str) -> str:
+    shared = f"len(list_intersect({a}, {b}))"
+    return f"coalesce({shared}::DOUBLE / nullif(len({a}) + len({b}) - {shared}, 0), 0.0)"
+
+
+@query(f"WITH g AS (SELECT p_partkey, {_sql_trigrams('p_name')} AS a, {_sql_trigrams('p_type')} AS b FROM part) SELECT p_partkey, round({_sql_similarity('a', 'b')}, 6) AS similarity FROM g")
+def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = T.trigram_similarity(T.trigrams(F.col("p_name")), T.trigrams(F.col("p_type")))
+    return D.table(spark, sf_dir, "part").select("p_partkey", F.round(s, 6).alias("similarity"))
+
+
+_ENTITIES = """ent AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS id, 'r' || CAST(n_regionkey AS VARCHAR) AS namespace, n_name AS name, 'nation' AS type, embedding
+  FROM nation JOIN embeddings ON vec_id = n_nationkey),
+req AS (SELECT id AS request_id, namespace, type, embedding,
+  CASE CAST(substr(id, 2) AS INTEGER) % 3 WHEN 0 THEN name WHEN 1 THEN name || 'N' ELSE substr(name, 1, 3) END AS name FROM ent)"""
+
+
+@query(
+    f"""WITH {_ENTITIES},
+c AS (SELECT r.request_id, e.id AS entity_id, e.name = r.name AND e.type = r.type AS exact,
+        round(list_cosine_distance(CAST(e.embedding AS DOUBLE[]), CAST(r.embedding AS DOUBLE[])), 9) AS d,
+        {_sql_trigrams("e.name")} AS a, {_sql_trigrams("r.name")} AS b
+      FROM req r JOIN ent e ON e.namespace = r.namespace),
+b AS (SELECT request_id, entity_id, CASE WHEN exact THEN 'exact' ELSE 'fuzzy' END AS how FROM c
+      WHERE exact OR ({_sql_similarity("a", "b")} > 0.6 AND 1 - d > 0.85)
+      QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY exact DESC, d, entity_id) = 1)
+SELECT r.request_id, coalesce(b.entity_id, sha256(concat_ws(chr(31), r.namespace, r.name, r.type))) AS entity_id, coalesce(b.how, 'new') AS how
+FROM req r LEFT JOIN b USING (request_id)"""
+)
+def entity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = D.table(spark, sf_dir, "nation").join(D.table(spark, sf_dir, "embeddings"), F.col("vec_id") == F.col("n_nationkey"))
+    key = F.col("n_nationkey")
+    ent = n.select(F.concat(F.lit("n"), key.cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("namespace"), F.col("n_name").alias("name"), F.lit("nation").alias("type"), "embedding")
+    number = F.substring("id", 2, 9).cast("int") % 3
+    name = F.when(number == 0, F.col("name")).when(number == 1, F.concat("name", F.lit("N"))).otherwise(F.substring("name", 1, 3))
+    return graph.link_entities(ent.select(F.col("id").alias("request_id"), "namespace", name.alias("name"), "type", "embedding"), ent)
+
+
+_PIECES = """pieces AS (
+  SELECT CAST(doc_id AS VARCHAR) AS document_id, i AS ordinal, substr(text, 1 + 1100 * i, 1200) AS text
+  FROM (SELECT doc_id, text, unnest(range(CASE WHEN length(text) <= 1200 THEN 1 ELSE CAST(ceil((length(text) - 1200) / 1100.0) AS BIGINT) + 1 END)) AS i FROM documents))"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.chunks(D.table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, sha256(text) AS text_sha256, CAST(ordinal * 1200 AS INTEGER) AS span_start, CAST(ordinal * 1200 + length(text) AS INTEGER) AS span_end FROM pieces")
+def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).select("document_id", "ordinal", F.sha2("text", 256).alias("text_sha256"), "span_start", "span_end")
+
+
+@query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, 0 AS number, substr(text, 1, 120) AS p_text, '?' AS subject, 'states' AS predicate, substr(text, 1, 120) AS object, true AS object_is_literal FROM pieces")
+def offline_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted, _ = ingest.extract(_pieces(spark, sf_dir), None, "offline")
+    return ingest.statements(extracted).select("document_id", "ordinal", "number", "p_text", "subject", "predicate", "object", "object_is_literal")
+
+
+@query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, length(text) AS chars, 'chunk' AS mode, CAST(NULL AS VARCHAR) AS subject_id, CAST(NULL AS VARCHAR) AS predicate FROM pieces")
+def chunks_mode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _pieces(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("mode"), F.lit("chunk")))
+    none = F.lit(None).cast("string")
+    return rows.select("document_id", "ordinal", F.char_length("text").cast("long").alias("chars"), F.col("metadata")["mode"].alias("mode"), none.alias("subject_id"), none.alias("predicate"))
+
+
+@query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, sha256(text || chr(159) || 'm1' || chr(159) || 'v1') AS cache_key, sha256(text) AS chunk_hash FROM pieces")
+def cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir).select("document_id", "ordinal", T.cache_key(F.col("text"), "m1").alias("cache_key"), T.chunk_hash(F.col("text")).alias("chunk_hash"))
+
+
+@query(
+    """WITH k AS (SELECT doc_id, lang, sha256(text || chr(159) || 'm1' || chr(159) || 'v1') AS cache_key FROM documents),
+c AS (SELECT DISTINCT cache_key FROM k WHERE lang IN ('en', 'fr'))
+SELECT lang, count(*) AS asked, count(c.cache_key) AS hits FROM k LEFT JOIN c USING (cache_key) GROUP BY lang"""
+)
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = D.table(spark, sf_dir, "documents").select("lang", T.cache_key(F.col("text"), "m1").alias("cache_key"))
+    have = keyed.filter(F.col("lang").isin("en", "fr")).select(F.col("cache_key")).distinct().withColumn("hit", F.lit(1))
+    return keyed.join(have, "cache_key", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("asked"), F.count("hit").alias("hits"))
+
+
+@query(
+    D.sql(
+        """SELECT p.id, CAST(p.access_count + coalesce(n, 0) AS INTEGER) AS access_count, greatest(accessed_s * 1000000, coalesce(last_us, accessed_s * 1000000)) AS last_us
+        FROM props p LEFT JOIN (
+          SELECT CAST(event_id % (SELECT count(*) FROM documents) AS VARCHAR) AS id, count(DISTINCT ts) AS n, epoch_us(max(ts)) AS last_us FROM events GROUP BY 1) e USING (id)""",
+        "props",
+    )
+)
+def access_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = D.table(spark, sf_dir, "documents").count()
+    # Zone-free times are read as UTC.
+    micros = F.unix_micros(F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")) if spark.conf.get("spark.sql.session.timeZone") == "UTC" else F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
+    events = D.table(spark, sf_dir, "events").select((F.col("event_id") % n).cast("string").alias("proposition_id"), F.timestamp_micros(micros).alias("ts"))
+    rows = store.fold_access(D.propositions(spark, sf_dir), events)
+    return rows.select("id", "access_count", F.unix_micros("last_accessed_at").alias("last_us"))
+
+
+@query(
+    D.sql(
+        """SELECT p.id, CASE WHEN d.doc_id % 13 = 0 THEN CASE WHEN d.doc_id % 2 = 0 THEN p.id ELSE CAST(d.doc_id + 1 AS VARCHAR) END ELSE p.superseded_by END AS superseded_by
+        FROM props p JOIN documents d ON CAST(d.doc_id AS VARCHAR) = p.id""",
+        "props",
+    )
+)
+def supersede_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id")
+    events = D.table(spark, sf_dir, "documents").filter(i % 13 == 0)
+    events = events.select(i.cast("string").alias("proposition_id"), F.when(i % 2 != 0, (i + 1).cast("string")).alias("replacement"), F.timestamp_seconds(i).alias("ts"))
+    return store.fold_supersede(D.propositions(spark, sf_dir), events).select("id", "superseded_by")
+
+
+@query(
+    """WITH c AS (SELECT doc_id, lang, CAST(length(text) AS DOUBLE) AS rerank, CAST(n_chars % 7 AS DOUBLE) AS adj FROM documents),
+m AS (SELECT *, min(rerank) OVER w AS r0, max(rerank) OVER w AS r1, min(adj) OVER w AS a0, max(adj) OVER w AS a1 FROM c WINDOW w AS (PARTITION BY lang))
+SELECT doc_id, round(0.7::DOUBLE * CASE WHEN r1 - r0 < 1e-10 THEN 1 ELSE (rerank - r0) / (r1 - r0) END
+  + 0.3::DOUBLE * CASE WHEN a1 - a0 < 1e-10 THEN 1 ELSE (adj - a0) / (a1 - a0) END, 9) AS blended FROM m"""
+)
+def minmax_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = D.table(spark, sf_dir, "documents")
+    c = d.select("doc_id", F.col("lang").alias("query_id"), F.char_length("text").cast("double").alias("rerank"), (F.col("n_chars") % 7).cast("double").alias("adjusted_score"))
+    return scoring.blend(c).select("doc_id", F.round("blended", 9).alias("blended"))
+
+
+_ANSWERS = r"""a AS (SELECT conv_id, turn, role AS category, text AS prediction, CASE WHEN turn % 2 = 0 THEN upper(substr(text, 5, 20)) ELSE 'zzz ' || substr(text, 1, 5) END AS gold FROM conversations),
+n AS (SELECT *, trim(regexp_replace(lower(prediction), '[^\p{L}\p{M}\p{N}_\s]', '', 'g')) AS p, trim(regexp_replace(lower(gold), '[^\p{L}\p{M}\p{N}_\s]', '', 'g')) AS g FROM a),
+e AS (SELECT *, contains(p, g) OR contains(g, p) AS exact FROM n)"""
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = F.when(F.col("turn") % 2 == 0, F.upper(F.substring("text", 5, 20))).otherwise(F.concat(F.lit("zzz "), F.substring("text", 1, 5)))
+    return evaluate.graded(D.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("category"), F.col("text").alias("prediction"), gold.alias("gold")))
+
+
+@query(f"WITH {_ANSWERS} SELECT conv_id, turn, exact FROM e")
+def eval_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answers(spark, sf_dir).select("conv_id", "turn", "exact")
+
+
+@query(f"WITH {_ANSWERS} SELECT category, count(*) AS total, CAST(sum(exact::INT) AS BIGINT) AS correct, round(avg(exact::INT), 9) AS accuracy FROM e GROUP BY category")
+def eval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.by_category(_answers(spark, sf_dir)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(
+    """SELECT conv_id, count(*) AS turns, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS transcript_sha256
+FROM conversations WHERE length(trim(text)) > 0 GROUP BY conv_id"""
+)
+def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = D.table(spark, sf_dir, "conversations").filter(F.length(F.trim("text")) > 0)
+    turns = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", T.turn_text(F.col("role"), F.col("text")).alias("said")))).alias("t"))
+    return turns.select("conv_id", F.size("t").cast("long").alias("turns"), F.sha2(F.array_join("t.said", "\n"), 256).alias("transcript_sha256"))
