@@ -138,7 +138,7 @@ def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
         """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, prop_id) AS rank, prop_id AS proposition_id, text,
         round(rrf::DOUBLE, 6) AS rrf_score, round(adjusted::DOUBLE, 6) AS adjusted_score,
         CASE WHEN in_kw AND in_vec THEN 'both' WHEN in_kw THEN 'kw' WHEN in_vec THEN 'vec' ELSE 'graph' END AS source_kind,
-        subject_id, predicate, object_id, asserted_s FROM scored QUALIFY rank <= 100""",
+        subject_id, predicate, object_id, coalesce(asserted_s, -1) AS asserted_s FROM scored QUALIFY rank <= 100""",
         "scored",
     )
 )
@@ -147,7 +147,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         "query_id", F.col("rank").cast("long").alias("rank"), "proposition_id", "text",
         F.round(F.col("rrf_score").cast("double"), 6).alias("rrf_score"), F.round(F.col("adjusted_score").cast("double"), 6).alias("adjusted_score"),
-        "source_kind", "subject_id", "predicate", "object_id", F.unix_seconds("asserted_at").alias("asserted_s"),
+        "source_kind", "subject_id", "predicate", "object_id", F.coalesce(F.unix_seconds("asserted_at"), F.lit(-1).cast("long")).alias("asserted_s"),
     )
 
 
@@ -330,13 +330,13 @@ def minmax_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.blend(c).select("doc_id", F.round("blended", 9).alias("blended"))
 
 
-_ANSWERS = r"""a AS (SELECT conv_id, turn, role AS category, text AS prediction, CASE WHEN turn % 2 = 0 THEN upper(substr(text, 5, 20)) ELSE 'zzz ' || substr(text, 1, 5) END AS gold FROM conversations),
+_ANSWERS = r"""a AS (SELECT conv_id, turn, role AS category, text AS prediction, CASE WHEN turn % 2 = 0 THEN '"' || substr(text, 5, 20) || '!' ELSE 'zzz ' || substr(text, 1, 5) END AS gold FROM conversations),
 n AS (SELECT *, trim(regexp_replace(lower(prediction), '[^\p{L}\p{M}\p{N}_\s]', '', 'g')) AS p, trim(regexp_replace(lower(gold), '[^\p{L}\p{M}\p{N}_\s]', '', 'g')) AS g FROM a),
 e AS (SELECT *, contains(p, g) OR contains(g, p) AS exact FROM n)"""
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = F.when(F.col("turn") % 2 == 0, F.upper(F.substring("text", 5, 20))).otherwise(F.concat(F.lit("zzz "), F.substring("text", 1, 5)))
+    gold = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('"'), F.substring("text", 5, 20), F.lit("!"))).otherwise(F.concat(F.lit("zzz "), F.substring("text", 1, 5)))
     return evaluate.graded(D.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("category"), F.col("text").alias("prediction"), gold.alias("gold")))
 
 
