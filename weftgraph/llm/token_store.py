@@ -61,9 +61,10 @@ def pfor_encode(values: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     for w in np.unique(width):
         if w:
             which = np.flatnonzero(width == w)
-            bits = ((d[which][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
-            packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
-            out[start[which][:, None] + np.arange(32 * w)] = packed
+            low = d[which].astype("<u2" if w <= 16 else "<u4").view(np.uint8).reshape(len(which), BLOCK, -1)
+            if w != 8 * low.shape[2]:
+                low = np.packbits(np.unpackbits(low, axis=2, bitorder="little")[:, :, :w].reshape(len(which), -1), axis=1, bitorder="little")
+            out[start[which][:, None] + np.arange(32 * w)] = low.reshape(len(which), -1)
     rows, cols = np.nonzero(over)
     if len(rows):
         nth = np.arange(len(rows)) - np.concatenate(([0], np.cumsum(n_exc)[:-1]))[rows]
@@ -94,11 +95,12 @@ def pfor_decode(data: bytes) -> np.ndarray:
         if w:
             which = np.flatnonzero(width == w)
             packed = body[start[which][:, None] + np.arange(32 * w)]
-            bits = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, w)
-            value = np.zeros((len(which), BLOCK), np.uint32)
-            for j in range(w):
-                value |= bits[:, :, j].astype(np.uint32) << np.uint32(j)
-            d[which] = value
+            kind, wide = ("<u2", 16) if w <= 16 else ("<u4", 32)
+            if w != wide:
+                bits = np.zeros((len(which), BLOCK, wide), np.uint8)
+                bits[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(which), BLOCK, w)
+                packed = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little")
+            d[which] = packed.view(kind)
     if n_exc.any():
         rows = np.repeat(np.arange(k), n_exc)
         nth = np.arange(len(rows)) - np.concatenate(([0], np.cumsum(n_exc)[:-1]))[rows]
