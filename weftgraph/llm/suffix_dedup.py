@@ -9,6 +9,9 @@ writes the transform and the prefix column from end to end, as sequential files
 on in parts of at most PART_STRINGS, so these columns stay in memory. After as many rounds as the longest string has
 bytes, suffixes with a common prefix of 50 or more hold equal 50-byte strings.
 
+Before the sort, strings without a window whose digest another string of their minimiser has are left out and the rest
+are cut to the stretch that has such windows; the sort then compares the bytes themselves.
+
 A direct construction over whole documents would need as many rounds as the longest document has bytes, each over the
 whole transform, which no cluster can run; the minimiser buckets make the strings short without losing a match.
 
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftgraph.llm.shared_windows import WINDOW, Chunk, covered_by_smaller
+from weftgraph.llm.words import _BASE, _BASE_INVERSE, _BYTE, U64, _power, mix
 
 GRAM_BYTES = 20
 PART_STRINGS = 2000
@@ -50,20 +54,21 @@ def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
 def column_suffix_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, offset, common prefix with the one before) of all suffixes in order, empty ones first.
 
-    The symbol 0 marks a string's beginning in the transform, so bytes are kept one higher, in 16 bits.
+    The symbol 0 marks a string's beginning in the transform, so bytes are kept one higher.
     """
     m = len(strings)
     size = np.array([len(s) for s in strings], np.int64)
     base = np.cumsum(size + 1) - size - 1
-    text = np.zeros(int(size.sum()) + m, np.uint16)
-    for b, s in zip(base.tolist(), strings, strict=True):
-        text[b + 1 : b + 1 + len(s)] = np.frombuffer(s, np.uint8).astype(np.uint16) + 1
-    empty = base + size  # place of each string's last symbol: what stands before its empty suffix
+    joined = np.frombuffer(b"".join(strings), np.uint8)
+    kind = np.uint8 if not len(joined) or joined.max() < 255 else np.uint16  # UTF-8 has no byte 255
+    text = np.zeros(len(joined) + m, kind)
+    text[np.arange(len(joined)) + np.repeat(np.arange(1, m + 1), size)] = joined.astype(kind) + kind(1)
+    empty = (base + size).astype(np.int32)  # place of each string's last symbol: what stands before its empty suffix
     at, prefix = empty, np.zeros(m, np.uint8)
     for _ in range(int(size.max()) if m else 0):
         transform = text[at]
         order = np.argsort(transform, kind="stable")
-        order = order[np.searchsorted(transform[order], 1) :]  # whole strings take no further symbol
+        order = order[len(transform) - int(np.count_nonzero(transform)) :]  # whole strings take no further symbol
         if not len(order):
             break
         symbol = transform[order]
@@ -71,28 +76,58 @@ def column_suffix_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
         longer = np.zeros(len(order), np.uint8)
         # Neighbours of one first symbol keep their order, so the stretch between their old places decides.
         longer[same] = np.minimum(_range_minimum(prefix, order[same - 1] + 1, order[same]), 254) + 1
-        at = np.concatenate((empty, at[order] - 1))
+        at = np.concatenate((empty, at[order] - np.int32(1)))
         prefix = np.concatenate((np.zeros(m, np.uint8), longer))
     string = np.searchsorted(base, at, "right") - 1
     return string, at - base[string], prefix
 
 
+def _promising(contents: list[bytes], least: np.ndarray, minimisers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, begin, end): the stretch of each string from its first to its last window whose digest a string of the
+    same minimiser and another id has too. Equal windows have equal digests, so nothing is lost; the sort decides."""
+    size = np.array([len(c) for c in contents], np.int64)
+    first = np.cumsum(size) - size
+    raw = np.frombuffer(b"".join(contents), np.uint8)
+    total = np.zeros(len(raw) + 1, U64)
+    np.cumsum(_BYTE[raw] * _power("up", _BASE, len(raw)), out=total[1:])
+    n = np.maximum(size - WINDOW + 1, 0)
+    owner = np.repeat(np.arange(len(contents)), n)
+    offset = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    start = first[owner] + offset
+    digest = (total[start + WINDOW] - total[start]) * _power("down", _BASE_INVERSE, len(raw) + 1)[start]
+    digest = mix(digest + mix(minimisers)[owner])
+    order = np.argsort(digest)
+    sorted_digest, ids = digest[order], least[owner[order]]
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), sorted_digest[1:] != sorted_digest[:-1])))
+    if not len(head):
+        return (np.empty(0, np.int64),) * 3
+    shared = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
+    hit = np.zeros(len(order), bool)
+    hit[order] = np.repeat(shared, np.diff(np.append(head, len(order))))
+    owner, offset = owner[hit], offset[hit]
+    kept = np.flatnonzero(np.concatenate((np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1])))
+    if not len(kept):
+        return (np.empty(0, np.int64),) * 3
+    return owner[kept], np.minimum.reduceat(offset, kept), np.maximum.reduceat(offset, kept) + WINDOW
+
+
 def match_windows(contents: list[bytes], least: np.ndarray, minimisers: np.ndarray) -> list[tuple[int, int, int, int]]:
     """For each string, the windows that a string of smaller id has as well. Strings come in order of minimiser."""
     found: list[tuple[int, int, int, int]] = []
-    head = np.flatnonzero(np.concatenate(([True], minimisers[1:] != minimisers[:-1])))
-    size = np.diff(np.append(head, len(contents)))
+    string, begin, end = _promising(contents, least, minimisers)
+    key = minimisers[string]
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))).tolist()
     part: list[int] = []
 
     def solve() -> None:
-        string, offset, prefix = column_suffix_sort([contents[c] for c in part])
-        chosen = np.array(part)
-        ids = least[chosen][string]
+        chosen, skipped = string[part], begin[part]
+        which, offset, prefix = column_suffix_sort([contents[string[i]][begin[i] : end[i]] for i in part])
+        ids = least[chosen][which]
         group = np.flatnonzero(prefix < WINDOW)
         low = np.repeat(np.minimum.reduceat(ids, group), np.diff(np.append(group, len(ids))))
-        length = np.array([len(contents[c]) for c in part])[string] - offset
+        length = (end[part] - skipped)[which] - offset
         hit = np.flatnonzero((low < ids) & (length >= WINDOW))
-        rows = np.stack((chosen[string[hit]], offset[hit], low[hit]))
+        rows = np.stack((chosen[which[hit]], offset[hit] + skipped[which[hit]], low[hit]))
         rows = rows[:, np.lexsort((rows[1], rows[0]))]
         new = np.ones(rows.shape[1], bool)
         new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1] + 1) | (rows[2, 1:] != rows[2, :-1])
@@ -100,9 +135,8 @@ def match_windows(contents: list[bytes], least: np.ndarray, minimisers: np.ndarr
         n = np.diff(np.append(first, rows.shape[1]))
         found.extend(zip(rows[0, first].tolist(), rows[1, first].tolist(), n.tolist(), rows[2, first].tolist(), strict=True))
 
-    for s, n in zip(head.tolist(), size.tolist(), strict=True):
-        if n > 1:
-            part += range(s, s + n)
+    for s, e in zip(head, [*head[1:], len(key)][: len(head)], strict=True):
+        part += range(s, e)
         if len(part) >= PART_STRINGS:
             solve()
             part = []
