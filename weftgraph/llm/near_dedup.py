@@ -10,8 +10,10 @@ the only way a link can be missed, and only if no chain of other links joins the
    bucket that a third of all documents share sends one row a task. Leaders differ by table, in LEADERS ways.
 3. Distinct candidate pairs within the size bound are verified on the full shingle sets, which are made again from the
    texts of the documents that have candidates.
-4. Components of the verified links. Then pairs that share a bucket, are still in different components and were not
-   compared are verified as well, so that no candidate pair is left out, and components are taken again.
+4. Components of the verified links. Every member of a bucket outside its largest component is then compared with all
+   of that component, in blocks of queries against blocks of members, until no link is new; last, those outside
+   members are compared with each other in the same way. So no candidate pair is left out, and pairs inside one
+   component are not made.
 
 Cases: null, empty or white-space text has no shingles and is linked with nothing; a null id is linked with nothing and
 kept; repeated rows share a component and are all kept or not by their id; other columns are ignored; an empty table
@@ -143,6 +145,53 @@ def _verify(percent: int):
     return run
 
 
+QUERY_BLOCK, BASE_BLOCK = 256, 2000
+
+
+def _compare(percent: int):
+    """Links of a block of queries to a block of a component's members, all queries at once for each member."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, query = table.column("rep").to_pylist(), table.column("query").to_pylist()
+        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+        asked = [i for i, q in enumerate(query) if q]
+        links: dict[str, list] = {"a": [], "b": []}
+        if asked:
+            sizes = np.array([len(sets[i]) for i in asked])
+            owner = np.repeat(np.arange(len(asked)), sizes)
+            every = np.concatenate([sets[i] for i in asked])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], owner[order]
+            for i, q in enumerate(query):
+                if q:
+                    continue
+                low, high = np.searchsorted(every, sets[i], "left"), np.searchsorted(every, sets[i], "right")
+                n = high - low
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                shared = np.bincount(owner[at], minlength=len(asked))
+                for j in np.flatnonzero(100 * shared >= percent * (sizes + len(sets[i]) - shared)):
+                    if (x := rep[asked[j]]) != rep[i]:
+                        links["a"].append(min(x, rep[i]))
+                        links["b"].append(max(x, rep[i]))
+        return pa.table(links, schema=schema)
+
+    return run
+
+
+def _against(asked: DataFrame, whole: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of asked (base, rep) to the members of their base component, in blocks of both sides."""
+    queries = asked.groupBy("base").agg(F.count(F.lit(1)).alias("k"))
+    grid = whole.groupBy(F.col("component").alias("base")).agg(F.count(F.lit(1)).alias("n")).join(queries, "base")
+    grid = grid.select("base", F.expr(f"(k + {QUERY_BLOCK - 1}) div {QUERY_BLOCK}").alias("k"), F.expr(f"(n + {BASE_BLOCK - 1}) div {BASE_BLOCK}").alias("n"))
+    mine, others = F.pmod(F.xxhash64("rep"), F.col("k")), F.pmod(F.xxhash64("rep"), F.col("n"))
+    q = asked.join(grid, "base").select("base", "rep", mine.alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("bb"), F.lit(True).alias("query"))
+    m = whole.withColumnRenamed("component", "base").join(grid, "base")
+    m = m.select("base", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("qb"), others.alias("bb"), F.lit(False).alias("query"))
+    rows = q.unionByName(m).join(sets, "rep")
+    return rows.groupBy("base", "qb", "bb").applyInArrow(_compare(percent), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
@@ -179,15 +228,28 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, percent: int = 80, id_co
     links = staged(_verified(pairs, sets, percent), "links")
     found = staged(components(links), "components")
 
-    # Buckets that still hold several components: compare the members that no pair above has compared.
-    of = members.select("key", F.explode(F.array("rep", "leader")).alias("rep")).distinct().join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    of = of.withColumn("component", F.coalesce("component", "rep"))
-    open_keys = of.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi AND n > 2")
-    rest = of.join(open_keys.select("key"), "key")
-    other = rest.select("key", F.col("rep").alias("q"), F.col("component").alias("other"))
-    rest = rest.withColumnRenamed("rep", "p").join(other, "key").filter("p < q AND component != other").select("p", "q").distinct()
-    rest = staged(sized(rest).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = staged(_verified(rest, sets, percent), "links")
+    # Buckets that still hold several components: every member outside a bucket's largest one is compared with all of
+    # that component, block by block, until nothing new is linked.
+    inside = staged(members.select("key", F.explode(F.array("rep", "leader")).alias("rep")).distinct(), "members")
+    while True:
+        of = inside.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        whole = of.select("rep", "component").distinct()
+        size = whole.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        per_key = of.groupBy("key", "component").agg(F.count(F.lit(1)).alias("here")).join(size, "component")
+        of_key = per_key.groupBy("key").agg(
+            F.max(F.struct("size", "component"))["component"].alias("base"), F.count(F.lit(1)).alias("several"), F.sum("here").alias("n")
+        )
+        open_keys = staged(of_key.filter("several > 1 AND n > 2").select("key", "base"), "open")
+        asked = of.join(open_keys, "key").filter("component != base").select("base", "rep").distinct()
+        asked = staged(asked, "asked")
+        more = staged(_against(asked, whole, sets, percent), "links")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = staged(components(links), "components")
+
+    # What is left are pairs outside the largest component of their bucket; both were asked against the same base.
+    more = staged(_against(asked, asked.select("rep", F.col("base").alias("component")), sets, percent), "links")
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
 
