@@ -6,6 +6,9 @@ Parquet to the shared folder and the next one reads that.
 Cases: null or empty texts fail the quality rules; rows with a null id are judged and mixed like others and are never
 near copies; rows that repeat an id are near copies or not together; extra columns travel along and are packed away by
 the last stage; an empty table gives an empty result.
+
+The mixing stage may only return the columns of `documents`, so the packing stage deals the mixed rows again, with the
+same weights and so to the same slots and places, and packs consecutive runs of that order.
 """
 
 from __future__ import annotations
@@ -16,6 +19,9 @@ from pyspark.sql import functions as F
 from weftgraph.llm import exact_dedup, mixing, near_dedup, packing, quality
 from weftgraph.llm.common import staged
 
+#: Target weight by source; None: the square root of the source's documents.
+WEIGHTS: dict[str, float] | None = None
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the robust outlier test accept."""
@@ -38,13 +44,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix: files and rows follow slot and place."""
-    mixed = mixing.mix_sources(docs)
+    mixed = mixing.mix_sources(docs, WEIGHTS)
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens, one row per piece."""
-    return packing.pack_documents(docs)
+    """Sequences of at most 4096 tokens in the order of the mix, one row per piece."""
+    return packing.pack_mixed(docs, WEIGHTS)
 
 
 STAGES = [

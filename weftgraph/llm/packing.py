@@ -9,6 +9,11 @@ bounded by the number of lengths as well, which is broadcast; each piece finds i
 of its length. Ranks come from counts of (length, bucket), so a length that a third of all documents have is spread
 over BUCKETS tasks.
 
+``pack_mixed`` packs within consecutive runs of the mix order instead: documents take the slot and place that
+``mix_sources`` gives them, chunks of CHUNK_SLOTS slots are joined to runs of about RUN_PIECES pieces, and each run is
+packed by itself with its sequences numbered by the first of their pieces. So sequences read in order hold the sources
+by target weight, run by run. A worker holds the piece rows (no texts) of one run.
+
 Cases: null or empty text is a piece of the end id alone; null ids are kept; repeated rows are packed each; columns
 other than id and text are ignored; an empty table gives no rows; a text of any length is tokenised whole and cut.
 """
@@ -25,17 +30,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm import mixing
 from weftgraph.llm.common import arrow_rows, batches, staged, with_text
 from weftgraph.llm.tokens import piece_encoder, tokenizer_path
 
 CAPACITY = 4096
 BUCKETS = 32
 ENCODE_DOCS = 128
+RUN_PIECES = 4096
+CHUNK_SLOTS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(path: str, kind: str, end_id: int, capacity: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+def _cut(path: str, kind: str, end_id: int, capacity: int, more: tuple[tuple[str, pa.DataType], ...] = ()):
+    """Pieces of documents; more: columns that travel along."""
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), *more])
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = piece_encoder(path, kind), np.array([end_id], "<u4").tobytes()
@@ -43,11 +52,12 @@ def _cut(path: str, kind: str, end_id: int, capacity: int):
             for at in range(0, b.num_rows, ENCODE_DOCS):
                 some = b.slice(at, ENCODE_DOCS)
                 rows: dict[str, list] = {f.name: [] for f in schema}
-                for doc_id, got in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
+                along = zip(*(some.column(name).to_pylist() for name, _ in more), strict=True) if more else [()] * some.num_rows
+                for doc_id, got, rest in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), along, strict=True):
                     ids = got + end
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[s : s + 4 * capacity]
-                        for name, x in zip(rows, (doc_id, k, s // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        for name, x in zip(rows, (doc_id, k, s // 4, len(part) // 4, zlib.crc32(part), *rest), strict=True):
                             rows[name].append(x)
                 yield batches(rows, schema)
 
@@ -158,3 +168,59 @@ def pack_documents(df: DataFrame, *, vocabulary: str | None = None, kind: str =
         (F.col("_first") + F.expr("(_at - _rank) div _each")).alias("sequence_id"),
         (F.col("_offset") + (nth_in_run % F.col("_each")) * F.col("length")).alias("offset"),
     )
+
+
+def _pack_run(capacity: int):
+    def pack(run: pa.Table) -> pa.Table:
+        run = run.sort_by([("slot", "ascending"), ("place", "ascending"), ("piece", "ascending")])
+        lengths = run.column("length").to_numpy()
+        values, counts = np.unique(lengths, return_counts=True)
+        runs, n = plan_sequences(dict(zip(values.tolist(), counts.tolist(), strict=True)), capacity)
+        sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        by_length = dict(zip(values.tolist(), np.split(np.argsort(lengths, kind="stable"), np.cumsum(counts)[:-1]), strict=True))
+        for length, rank, pieces, first, each, at in runs:
+            rows, nth = by_length[length][rank : rank + pieces], np.arange(pieces)
+            sequence[rows], offset[rows] = first + nth // each, at + nth % each * length
+        used, first_row = np.unique(sequence, return_index=True)
+        number = np.zeros(n, np.int64)
+        number[used[np.argsort(first_row)]] = np.arange(len(used))
+        run = run.select([*(c.split()[0] for c in PIECES.split(", ")), "_run"])
+        return run.append_column("_sequence", pa.array(number[sequence])).append_column("offset", pa.array(offset))
+
+    return pack
+
+
+def pack_mixed(
+    df: DataFrame,
+    weights: dict[str, float] | None = None,
+    *,
+    vocabulary: str | None = None,
+    kind: str = "word",
+    end_id: int = 1,
+    capacity: int = CAPACITY,
+    run_pieces: int = RUN_PIECES,
+    chunk_slots: int = CHUNK_SLOTS,
+) -> DataFrame:
+    """The columns of pack_documents; sequences follow the order that mix_sources deals the documents with weights."""
+    arrow_rows(df.sparkSession)
+    path = vocabulary or tokenizer_path("word_bpe_49k.json")
+    more = (("source", pa.string()), ("_row", pa.int64()))
+    rows = with_text(df, "doc_id", "text", mixing.source_key().alias("source"), F.monotonically_increasing_id().alias("_row"))
+    pieces = staged(rows.mapInArrow(_cut(path, kind, end_id, capacity, more), PIECES + ", source string, _row long"), "pieces")
+    mixed = mixing.mix_sources(pieces.filter("piece = 0").select("doc_id", "source", "_row"), weights)
+    mixed = mixed.select("_row", "slot", "place", F.expr(f"slot div {chunk_slots}").alias("_chunk"))
+    pieces = staged(pieces.drop("source").join(mixed, "_row"), "mixed-pieces")
+
+    # One row a chunk that has documents, and its run by the pieces before it.
+    before = Window.partitionBy().orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = pieces.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    chunks = chunks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    chunks = chunks.select("_chunk", F.expr(f"_before div {run_pieces}").alias("_run"))
+    packed = pieces.join(F.broadcast(chunks), "_chunk").groupBy("_run").applyInArrow(_pack_run(capacity), PIECES + ", _run long, _sequence long, offset long")
+    packed = staged(packed, "packed-runs")
+
+    earlier = Window.partitionBy().orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    first = packed.groupBy("_run").agg((F.max("_sequence") + 1).alias("_n"))
+    first = first.select("_run", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    placed = packed.join(F.broadcast(first), "_run")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("_sequence")).alias("sequence_id"), "offset")
