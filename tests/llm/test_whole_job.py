@@ -3,7 +3,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
-from weftgraph.llm import mixing, packing
+from weftgraph.llm import mixing, packing, quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -46,3 +46,13 @@ def test_weights_change_the_pipeline(spark, tmp_path, monkeypatch):
         got.append({(r.doc_id, r.piece, r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()})
     assert {x[:2] for x in got[0]} == {x[:2] for x in got[1]} and len(got[0]) > 100
     assert got[0] != got[1]
+
+
+def test_small_source_is_judged_by_its_own_style(spark):
+    style = lambda i, end: " ".join(f"w{(i * 7919 + j * j) % 9973}x{j}{end if j % 3 == 0 else ''}" for j in range(80 + i % 40))
+    rows = [(i, style(i, ""), "en", "prose", None) for i in range(300)]
+    rows += [(1000 + i, style(i, "###"), "en", "code", None) for i in range(30)]
+    rows += [(2000, style(1, "#" * 20), "en", "code", None), (2001, style(1, "###"), "en", "prose", None)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in sorted(got) if not got[i].kept] == [2000, 2001]

@@ -7,8 +7,10 @@ from them. Distances are counted in bins of 1/32 of a power of two with the sums
 map-side-combined aggregation over (group, bin), exact up to the bin and the same for every partitioning. A document is
 rejected when its squared distance to its group is above CUTOFF.
 
-Groups of fewer than MIN_GROUP rows use their language's rows, and languages of fewer than that use all rows. Scatter is
-floored by the variances in FLOOR, as most clean documents have no symbols and no repeats at all.
+Every group, whatever its size, has an estimate of its own. Center and scatter from n chosen rows are averaged with
+those of the group's language as if these came from PRIOR_ROWS rows more, and a language's with those of all rows in the
+same way, so the weight of the wider group fades smoothly as a group grows. Scatter is floored by the variances in FLOOR,
+as most clean documents have no symbols and no repeats at all.
 
 Cases: null or empty text has no words and fails the base rule; null language or source form a group of their own; null
 ids are kept; repeated rows are judged each; an empty table gives no rows; columns other than id, text, language and
@@ -32,13 +34,16 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 STATS = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS)
 H_SHARE = 0.75
 STEPS = 4
-MIN_GROUP = 100
+#: Rows that the estimate of the wider group counts for.
+PRIOR_ROWS = 10
 #: Mean word length (log), and square roots of the shares of symbols, repeated lines and repeated words.
 FEATURES = ("x0", "x1", "x2", "x3")
 FLOOR = (0.05**2, 0.05**2, 0.10**2, 0.10**2)
 START = (0.10**2, 0.10**2, 0.20**2, 0.20**2)
 CUTOFF = 30.0
 BINS_A_POWER = 32
+#: The group of all rows.
+ALL = "\x02"
 
 
 def text_counts(raw: bytes) -> tuple[int, int, int, int, int]:
@@ -92,62 +97,83 @@ def _distance() -> Column:
     return total
 
 
+def _shrunk(count: float, value: np.ndarray, wider: np.ndarray) -> np.ndarray:
+    return (count * value + PRIOR_ROWS * wider) / (count + PRIOR_ROWS)
+
+
 def _estimates(h_subset: DataFrame) -> DataFrame:
-    """(grp, center, inverse) from count and sums of the chosen rows of each group."""
+    """(grp, center, inverse) from count and sums of the chosen rows of each group and of the groups above it."""
     p = len(FEATURES)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    values = [c for c in h_subset.columns if c not in ("grp", "parent")]
+    parent = h_subset.select(F.col("grp").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in values])
+    top = h_subset.filter(F.col("grp") == ALL).select(*[F.col(c).alias(f"t_{c}") for c in values])
 
     def solve(pdfs):
         for pdf in pdfs:
             out = []
-            for row in pdf.itertuples(index=False):
-                mean = np.array([getattr(row, f"s{i}") for i in range(p)]) / row.n
-                cov = np.zeros((p, p))
-                for i, j in pairs:
-                    cov[i, j] = cov[j, i] = getattr(row, f"s{i}{j}") / row.n - mean[i] * mean[j]
-                cov += np.diag(FLOOR)
-                out.append((row.grp, mean.tolist(), np.linalg.inv(cov).ravel().tolist()))
+            for row in pdf.to_dict("records"):
+                center = cov = None
+                for level in ("t_", "p_", ""):
+                    n = row[f"{level}n"]
+                    if n != n or n is None:
+                        continue  # all rows together have no wider group
+                    mean = np.array([row[f"{level}s{i}"] for i in range(p)]) / n
+                    own = np.zeros((p, p))
+                    for i, j in pairs:
+                        own[i, j] = own[j, i] = row[f"{level}s{i}{j}"] / n - mean[i] * mean[j]
+                    center, cov = (mean, own) if center is None else (_shrunk(n, mean, center), _shrunk(n, own, cov))
+                out.append((row["grp"], center.tolist(), np.linalg.inv(cov + np.diag(FLOOR)).ravel().tolist()))
             import pandas as pd
 
             yield pd.DataFrame(out, columns=["grp", "center", "inverse"])
 
-    return h_subset.mapInPandas(solve, "grp string, center array<double>, inverse array<double>")
+    every = h_subset.join(parent, "parent", "left").crossJoin(F.broadcast(top))
+    return every.mapInPandas(solve, "grp string, center array<double>, inverse array<double>")
+
+
+def _start(member: DataFrame) -> DataFrame:
+    """(grp, center, inverse) to start from: medians, averaged with those of the wider groups, and a common scatter."""
+    p = len(FEATURES)
+    medians = member.groupBy("grp", "parent").agg(F.count(F.lit(1)).alias("n"), *[F.percentile(F.round(c, 3), F.lit(0.5)).alias(c) for c in FEATURES])
+    medians = staged(medians, "quality-medians")
+    parent = medians.select(F.col("grp").alias("parent"), F.col("n").alias("p_n"), *[F.col(c).alias(f"p_{c}") for c in FEATURES])
+    top = medians.filter(F.col("grp") == ALL).select(*[F.col(c).alias(f"t_{c}") for c in FEATURES])
+    every = medians.join(parent, "parent", "left").crossJoin(F.broadcast(top))
+
+    def center(c: str) -> Column:
+        wider = F.coalesce(_shrunk(F.col("p_n"), F.col(f"p_{c}"), F.col(f"t_{c}")), F.col(f"t_{c}"))
+        return _shrunk(F.col("n"), F.col(c), wider)
+
+    diagonal = [F.lit(1.0 / START[i] if i == j else 0.0) for i in range(p) for j in range(p)]
+    return staged(every.select("grp", F.array(*map(center, FEATURES)).alias("center"), F.array(*diagonal).alias("inverse")), "quality-start")
 
 
 def judge(stats: DataFrame) -> DataFrame:
     """stats plus distance, base_failed and kept."""
     p = len(FEATURES)
-    rows = _features(stats)
     lang, source = F.coalesce(F.col("lang"), F.lit("\x00")), F.coalesce(F.col("source"), F.lit("\x00"))
     pair = F.concat(lang, F.lit("\x01"), source)
-    sizes = staged(rows.filter("n_words > 0").groupBy(lang.alias("lang_"), pair.alias("pair")).count(), "quality-sizes")
-    by_lang = Window.partitionBy("lang_")
-    grp = F.when(F.col("count") >= MIN_GROUP, F.col("pair")).when(F.col("in_lang") >= MIN_GROUP, F.col("lang_")).otherwise(F.lit("\x02"))
-    groups = sizes.withColumn("in_lang", F.sum("count").over(by_lang)).select("pair", grp.alias("own"))
-    rows = rows.withColumn("pair", pair).join(groups, "pair", "left").withColumnRenamed("own", "grp")
-    rows = staged(rows.drop("pair"), "quality-vectors")
-
-    # A row counts for its own group; the wider groups that small ones fall back to count all rows they cover.
-    used = groups.select(F.col("own").alias("grp")).distinct()
-    member = rows.filter("n_words > 0").withColumn("grp", F.explode(F.array_distinct(F.array(F.col("grp"), lang, F.lit("\x02")))))
-    member = member.join(used, "grp", "left_semi").select("grp", *FEATURES)
+    rows = staged(_features(stats).withColumn("grp", pair), "quality-vectors")
+
+    # A row counts for its own group, its language and all rows.
+    levels = F.array(*[F.struct(g.alias("grp"), w.alias("parent")) for g, w in ((pair, lang), (lang, F.lit(ALL)), (F.lit(ALL), F.lit(None).cast("string")))])
+    member = rows.filter("n_words > 0").select(F.explode(levels).alias("g"), *FEATURES).select("g.*", *FEATURES)
     member = staged(member, "quality-members")
 
-    medians = member.groupBy("grp").agg(*[F.percentile(F.round(c, 3), F.lit(0.5)).alias(c) for c in FEATURES])
-    diagonal = [F.lit(1.0 / START[i] if i == j else 0.0) for i in range(p) for j in range(p)]
-    model = medians.select("grp", F.array(*FEATURES).alias("center"), F.array(*diagonal).alias("inverse"))
+    model = _start(member)
     step_bin = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * BINS_A_POWER)
     sums = {f"s{i}": F.sum(c) for i, c in enumerate(FEATURES)}
     sums |= {f"s{i}{j}": F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(p) for j in range(i, p)}
     closer = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     for step in range(STEPS):
         binned = member.join(model, "grp").withColumn("bin", step_bin)
-        binned = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
+        binned = binned.groupBy("grp", "parent", "bin").agg(F.count(F.lit(1)).alias("n"), *[v.alias(k) for k, v in sums.items()])
         all_n = F.sum("n").over(Window.partitionBy("grp"))
         binned = binned.withColumn("before", F.coalesce(F.sum("n").over(closer), F.lit(0))).withColumn("all_n", all_n)
         chosen = binned.filter(F.col("before") < F.col("all_n") * H_SHARE)
-        chosen = chosen.groupBy("grp").agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
-        model = staged(_estimates(chosen), f"quality-model{step}")
+        chosen = chosen.groupBy("grp", "parent").agg(*[F.sum(c).alias(c) for c in ("n", *sums)])
+        model = staged(_estimates(staged(chosen, f"quality-chosen{step}")), f"quality-model{step}")
 
     judged = rows.join(model, "grp", "left").withColumn("distance", _distance())
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
