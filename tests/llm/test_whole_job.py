@@ -1,9 +1,14 @@
 """Results that a shortened job would not give."""
 
+import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 import corpus_pipeline
-from weftgraph.llm import mixing, packing, quality
+from tests.llm.test_queries import ROWS
+from weftgraph.llm import mixing, packing, quality, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -56,3 +61,38 @@ def test_small_source_is_judged_by_its_own_style(spark):
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert not any(r.base_failed for r in got.values())
     assert [i for i in sorted(got) if not got[i].kept] == [2000, 2001]
+
+
+def _stays(texts):
+    """Ids (None too) that exact groups and components of five-word sets at 0.8 keep. texts: (doc_id, text)."""
+    groups = defaultdict(list)
+    for i, t in texts:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t)].append((-len(t), i is None, i, t))
+    left = [min(g)[2:] for g in groups.values()]
+    sets = defaultdict(set)
+    for i, t in left:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split()
+        sets[i] |= {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+    root = {i: i for i in sets if i is not None}
+    for a in sorted(root):
+        for b in sorted(root):
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return [(i, t) for i, t in left if i is None or root[i] == i]
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    spark.createDataFrame(ROWS, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    numbered = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(ROWS)], SCHEMA)
+    good = [ROWS[r.doc_id][:2] for r in quality.quality_rules(numbered).collect() if r.kept]
+    library = tokens.PieceEncoder(tokens.tokenizer_path("word_bpe_49k.json"), "word").library
+    want = Counter()
+    for i, t in _stays(good):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        for k, s in enumerate(range(0, len(ids), 4096)):
+            part = ids[s : s + 4096]
+            want[(i, k, s, len(part), zlib.crc32(part.tobytes()))] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    assert 40 < len(want) < len(good)
