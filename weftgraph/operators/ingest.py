@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from weftgraph.functions.text import cache_key, chunk_hash, statement
 from weftgraph.schema import PROPOSITION
@@ -20,39 +21,55 @@ MAX_PROPOSITIONS = 20
 Extractor = Callable[[list[str]], list[list[dict]]]
 
 
-def chunk_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
-    """Paragraphs packed up to size; longer ones cut hard, each piece starting size - overlap after the one before.
+def _paragraphs(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each paragraph without the white space around it; blank lines part paragraphs."""
+    begin = 0
+    for gap_start, gap_end in [*(m.span() for m in re.finditer(r"\n{2,}", text)), (len(text), len(text))]:
+        inner = text[begin:gap_start]
+        if body := inner.strip():
+            start = begin + inner.index(body[0])
+            yield start, start + len(body)
+        begin = gap_end
+
 
-    Packing counts one character for the two that join paragraphs, so a packed chunk may have size + 1. What is left of
-    a long paragraph goes on being packed. A text without paragraphs gives its first size characters.
+def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[list[tuple[int, int]]]:
+    """The chunks of a text, each as the (start, end) of the paragraphs, or parts of one, that it joins.
+
+    A paragraph joins the chunk before it while both and one character more fit into size. Otherwise it begins a chunk
+    of its own; of n characters too many, ceil(n / (size - overlap)) cuts of full size come first, each size - overlap
+    after the one before, and the rest stays open for the next paragraph. A text without paragraphs is its first size
+    characters.
     """
-    step = max(0, size - overlap)
-    done: list[str] = []
-    open_chunk = ""
-    for para in (p.strip() for p in re.split(r"\n{2,}", text.strip())):
-        if not para:
-            continue
-        if len(open_chunk) + len(para) < size:
-            open_chunk = f"{open_chunk}\n\n{para}".strip() if open_chunk else para
-            continue
-        if open_chunk:
-            done.append(open_chunk)
-        at = 0
-        while len(para) - at > size:
-            done.append(para[at : at + size])
-            if step == 0:
-                raise ValueError("overlap must be smaller than size")
-            at += step
-        open_chunk = para[at:]
-    if open_chunk:
-        done.append(open_chunk)
-    return done or [text[:size]]
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than size")
+    step, laid, used = size - overlap, [], size
+    for start, end in _paragraphs(text):
+        length = end - start
+        if used + length < size:
+            first, stop = laid[-1][0]
+            first += stop - first - len(text[first:stop].lstrip())  # a rest may begin with white space, a join may not
+            laid[-1] = [(first, stop), *laid[-1][1:], (start, end)]
+        else:
+            cuts = max(0, -(-(length - size) // step))
+            laid += [[(start + i * step, start + i * step + size)] for i in range(cuts)]
+            laid.append([(start + cuts * step, end)])
+        used = sum(e - s for s, e in laid[-1]) + 2 * (len(laid[-1]) - 1)
+    return laid or [[(0, min(size, len(text)))]]
+
+
+def _joined(text: str, spans: list[tuple[int, int]]) -> str:
+    return "\n\n".join(text[s:e] for s, e in spans)
+
+
+def chunk_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
+    """The chunks of a text (see chunk_spans), paragraphs joined by a blank line."""
+    return [_joined(text, spans) for spans in chunk_spans(text, size, overlap)]
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(document_id, ordinal, text, span_start, span_end, offset_start): chunks with nominal spans and true offsets.
 
-    offset_start is where the chunk's text is found after the previous chunk's start; null where joining changed it.
+    offset_start is where the chunk begins in the text; null where joining paragraphs changed the characters between.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
@@ -63,11 +80,11 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, ov
         for b in batches:
             rows: list[list] = [[] for _ in names]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seek = 0
-                for i, c in enumerate(chunk_text(text or "", size, overlap)):
-                    at = (text or "").find(c, seek)
-                    seek = at + 1 if at >= 0 else seek
-                    for r, x in zip(rows, (doc, i, c, i * size, i * size + len(c), at if at >= 0 else None), strict=True):
+                whole = text or ""
+                for i, spans in enumerate(chunk_spans(whole, size, overlap)):
+                    c, start = _joined(whole, spans), spans[0][0]
+                    true = start if whole.startswith(c, start) else None
+                    for r, x in zip(rows, (doc, i, c, i * size, i * size + len(c), true), strict=True):
                         r.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=list(names))
 
@@ -82,25 +99,28 @@ def offline_propositions(text: Column) -> Column:
     return F.array(one)
 
 
+_KIND = {f.name: bool if isinstance(f.dataType, BooleanType) else str for f in PROPOSITION}
+_DEFAULT = {"text": "", "object_is_literal": False}
+
+
+def _objects(answer: str) -> Iterator[dict]:
+    """The outermost JSON objects that can be read in an answer, whatever stands around them."""
+    decoder, at = json.JSONDecoder(), answer.find("{")
+    while at >= 0:
+        try:
+            value, end = decoder.raw_decode(answer, at)
+            yield value
+        except json.JSONDecodeError:
+            end = at + 1
+        at = answer.find("{", end)
+
+
 def parse_propositions(answer: str) -> list[dict]:
-    """Propositions of a model's answer; tolerates code fences and prose around the JSON, drops malformed items."""
-    text = answer.strip()
-    if fence := re.search(r"```(?:json)?\s*(.*?)```", text, re.DOTALL):
-        text = fence[1].strip()
-    if not text.startswith("{") and 0 <= text.find("{") < text.rfind("}"):
-        text = text[text.find("{") : text.rfind("}") + 1]
-    try:
-        items = json.loads(text).get("propositions", []) if text else []
-    except (json.JSONDecodeError, AttributeError):
-        return []
-    found = []
-    for x in items if isinstance(items, list) else []:
-        if isinstance(x, dict) and all(isinstance(x.get(c), str) for c in ("subject", "predicate", "object")):
-            literal, said = x.get("object_is_literal", False), x.get("text", "")
-            if isinstance(literal, bool) and isinstance(said, str):
-                said = said or f"{x['subject']} {x['predicate']} {x['object']}".strip()
-                found.append({"text": said, "subject": x["subject"], "predicate": x["predicate"], "object": x["object"], "object_is_literal": literal})
-    return found
+    """Propositions of a model's answer: the list in the first JSON object that has one, without malformed items."""
+    items = next((x["propositions"] for x in _objects(answer) if isinstance(x.get("propositions"), list)), [])
+    rows = [{c: (_DEFAULT | x).get(c) for c in _KIND} for x in items if isinstance(x, dict)]
+    rows = [r for r in rows if all(type(r[c]) is kind for c, kind in _KIND.items())]
+    return [r | {"text": r["text"] or " ".join((r["subject"], r["predicate"], r["object"])).strip()} for r in rows]
 
 
 def extract(chunked: DataFrame, cache: DataFrame | None, model: str, extractor: Extractor | None = None) -> tuple[DataFrame, DataFrame]:
