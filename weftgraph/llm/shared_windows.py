@@ -5,16 +5,18 @@ are a run (super-k-mer) of WINDOW + windows - 1 symbols. Equal windows have equa
 in the bucket of its minimiser. Documents travel once, to chunks of about CHUNK_BYTES by a hash of id and text; all
 else travels between chunks and buckets as packed arrays, one row a (chunk, bucket), already combined per chunk:
 
-A. chunk -> bucket: (minimiser, digest of the run's content, least id in the chunk) for each distinct run.
-B. bucket -> chunk: minimisers that more than one document has. If all their runs have one content, the least id answers
-   for all their windows; otherwise the content is asked for.
-C. chunk -> bucket: each distinct asked-for run as one packed string. Runs of a minimiser that more than HOT_RUNS
-   distinct (chunk, run) pairs have are sent window by window, to the buckets of the windows' digests, so that no bucket
-   gathers an unbounded group.
-D. bucket -> chunk: the bucket compares the windows of its strings symbol by symbol (the solver) and returns for each
-   string the windows that a smaller id has.
+A. chunk -> bucket: (minimiser, least id in the chunk, distinct runs) for each minimiser of the chunk.
+B. bucket -> chunk: minimisers that more than one document has.
+C. chunk -> bucket: each distinct run of those minimisers as one packed string. Runs of a minimiser that more than
+   HOT_RUNS distinct (chunk, run) pairs have are sent window by window, to the buckets of the windows' digests, so that
+   no bucket gathers an unbounded group.
+D. bucket -> chunk: the bucket compares its strings, equal ones whole and the windows of the others symbol by symbol (the
+   solver), and returns for each string the windows that a smaller id has.
 E. chunk: every window with a smaller id is covered; the covered symbols of each document are handed to `finish`.
 
+No window is removed on a digest alone: digests name a chunk's runs and windows, and those of one digest are compared
+symbol by symbol in the chunk before they are taken for one; different ones would end the task with an error.
+
 What a chunk sends for a passage is one entry however many of its documents hold it, so hot passages and large groups
 of copies cost one entry a chunk.
 """
@@ -39,7 +41,7 @@ BUCKET_BYTES = 2 << 20
 BLOCK_SYMBOLS = 1 << 20
 HOT_RUNS = 5000
 KEY_BITS = 40
-UNIFORM, ASKED, HOT = 0, 1, 2
+CONFIRM_ROWS = 1 << 13
 _ROW = "bucket int, chunk int, payload binary"
 _BACK = "chunk int, payload binary"
 #: (contents, least ids, minimisers) -> (content, first window, windows, smaller id)
@@ -74,6 +76,11 @@ def unpack_ids(low: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return rest.astype(np.int64) + low[0]
 
 
+def narrow(sizes: np.ndarray) -> np.ndarray:
+    """Sizes in the least of three widths that holds them."""
+    return sizes.astype(np.min_scalar_type(int(sizes.max())) if len(sizes) else np.uint8)
+
+
 @dataclass
 class Runs:
     start: np.ndarray  # first symbol
@@ -113,6 +120,22 @@ class Chunk:
             return b" ".join(t.data[t.start[start] : t.end[end - 1]].split())
         return self.data[start:end]
 
+    def confirm(self, start: np.ndarray, size: np.ndarray, digest: np.ndarray) -> None:
+        """Stretches come sorted by digest; those of one digest must be equal symbol by symbol."""
+        again = np.flatnonzero(digest[1:] == digest[:-1]) + 1
+        equal = True
+        if self.words:
+            equal = all(self.content(s, s + n) == self.content(t, t + n) for s, t, n in zip(start[again].tolist(), start[again - 1].tolist(), size[again].tolist(), strict=True))
+        elif len(again):
+            raw = np.frombuffer(self.data + bytes(WINDOW + WINDOW), np.uint8)
+            inside = np.arange(int(size[again].max()))
+            for at in range(0, len(again), CONFIRM_ROWS):
+                some = again[at : at + CONFIRM_ROWS]
+                differ = raw[start[some][:, None] + inside] != raw[start[some - 1][:, None] + inside]
+                equal &= not (differ & (inside < size[some][:, None])).any()
+        if not equal:
+            raise ArithmeticError("two different stretches have one digest; change the seed in words.py")
+
     def runs(self) -> Runs:
         """All runs of all documents with an id; a run has at most WINDOW - gram + 1 windows."""
         parts: list[tuple] = []
@@ -188,56 +211,57 @@ class Exchange:
     def _bucket(self, key: np.ndarray) -> np.ndarray:
         return (key >> U64(KEY_BITS - self.bits)).astype(np.int32)
 
+    def _inside(self, key: np.ndarray) -> np.ndarray:
+        """What of a key its bucket does not say."""
+        return (key & U64((1 << (KEY_BITS - self.bits)) - 1)).astype(np.uint32)
+
     def a(self, key: tuple, table: pa.Table) -> pa.Table:
         chunk = Chunk(table, self.words, self.gram)
         r = chunk.runs()
         rows = []
         if len(r.key):
-            ids = chunk.doc_ids[r.doc]
-            order = np.lexsort((ids, r.digest, r.key))
-            k, d, ids = r.key[order], r.digest[order], ids[order]
-            by_key = _heads(k)
-            several = np.minimum.reduceat(ids, by_key) != np.maximum.reduceat(ids, by_key)
-            head = _heads(k, d)
-            flag = several[np.searchsorted(by_key, head, "right") - 1]
-            k, d, ids = k[head], d[head] | flag.astype(U64), ids[head]
+            order = np.lexsort((r.digest, r.key))
+            k, d, ids = r.key[order], r.digest[order], chunk.doc_ids[r.doc[order]]
+            head, distinct = _heads(k), _heads(k, d)
+            n = np.diff(np.append(np.searchsorted(distinct, head), len(distinct)))
+            low = np.minimum.reduceat(ids, head)
+            several = low != np.maximum.reduceat(ids, head)
+            k, n = k[head], (np.minimum(n, 2**15 - 1) * 2 + several).astype(np.uint16)
             for bucket, part in _by_bucket(self._bucket(k)):
-                rows.append((bucket, key[0].as_py(), pack((k[part] & U64(0xFFFFFFFF)).astype(np.uint32), d[part], *pack_ids(ids[part]))))
+                rows.append((bucket, key[0].as_py(), pack(self._inside(k[part]), n[part], *pack_ids(low[part]))))
         return _rows(rows, _ROW_SCHEMA)
 
     def b(self, key: tuple, table: pa.Table) -> pa.Table:
-        bucket = key[0].as_py()
         chunks, parts = [], []
         for chunk, payload in _payloads(table):
-            k, d, low, rest = unpack(payload)
+            k, n, low, rest = unpack(payload)
             chunks.append(np.full(len(k), chunk, np.int32))
-            parts.append((k, d, unpack_ids(low, rest)))
+            parts.append((k, n, unpack_ids(low, rest)))
         chunk = np.concatenate(chunks)
-        k, d, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+        k, n, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(k, kind="stable")
-        chunk, k, d, ids = chunk[order], k[order], d[order], ids[order]
+        chunk, k, n, ids = chunk[order], k[order], n[order], ids[order]
         head = _heads(k)
         size = np.diff(np.append(head, len(k)))
-        low, flag, content = np.minimum.reduceat(ids, head), np.maximum.reduceat(d & U64(1), head), d >> U64(1)
-        shared = (low != np.maximum.reduceat(ids, head)) | (flag > 0)
-        uniform = np.minimum.reduceat(content, head) == np.maximum.reduceat(content, head)
-        kind = np.where(uniform, UNIFORM, np.where(size > HOT_RUNS, HOT, ASKED)).astype(np.uint8)
-        shared, kind, low = (np.repeat(x, size) for x in (shared, kind, low))
-        # Where one content is all there is and its only document in the chunk has the least id, nothing is covered.
-        tell = shared & ((kind != UNIFORM) | (ids > low) | ((d & U64(1)) > 0))
-        chunk, k, kind, low = chunk[tell], k[tell].astype(U64) | (U64(bucket) << U64(KEY_BITS - self.bits)), kind[tell], low[tell]
+        shared = (np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)) | (np.maximum.reduceat(n & 1, head) > 0)
+        hot = np.add.reduceat(n.astype(np.int64) >> 1, head) > HOT_RUNS
+        shared, hot = np.repeat(shared, size), np.repeat(hot, size)
+        chunk, k, hot = chunk[shared], k[shared], hot[shared]
         order = np.argsort(chunk, kind="stable")
-        chunk, k, kind, low = chunk[order], k[order], kind[order], low[order]
-        return _rows([(c, pack(k[p], kind[p], low[p])) for c, p in _by_bucket(chunk)], _BACK_SCHEMA)
-
-    @staticmethod
-    def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = [unpack(x) for x in table.column("payload").to_pylist()]
-        if not parts:
-            return np.empty(0, U64), np.empty(0, np.uint8), np.empty(0, np.int64)
-        k, kind, low = (np.concatenate(x) for x in zip(*parts, strict=True))
-        k, first = np.unique(k, return_index=True)
-        return k, kind[first], low[first]
+        chunk, k, hot = chunk[order], k[order], hot[order]
+        bucket = np.array([key[0].as_py()], np.uint64)
+        return _rows([(c, pack(bucket, k[p], np.packbits(hot[p]))) for c, p in _by_bucket(chunk)], _BACK_SCHEMA)
+
+    def _told(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        """Keys that other documents have too, sorted, and which of them are hot."""
+        keys, hots = [np.empty(0, U64)], [np.empty(0, bool)]
+        for payload in table.column("payload").to_pylist():
+            bucket, k, hot = unpack(payload)
+            keys.append(k.astype(U64) | (bucket << U64(KEY_BITS - self.bits)))
+            hots.append(np.unpackbits(hot, count=len(k)).astype(bool))
+        k, hot = np.concatenate(keys), np.concatenate(hots)
+        order = np.argsort(k, kind="stable")
+        return k[order], hot[order]
 
     @staticmethod
     def _find(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -260,29 +284,29 @@ class Exchange:
             return _rows([], _ROW_SCHEMA)
         chunk = Chunk(docs, self.words, self.gram)
         r = chunk.runs()
-        k, kind, low = self._told(told)
+        k, is_hot = self._told(told)
         at = self._find(k, r.key)
-        state = np.where(at >= 0, kind[at], 255) if len(k) else np.full(len(at), 255)
-        keep = kind != ASKED
-        rows = [(name % (1 << self.bits), name, pack(np.zeros(1, np.uint8), k[keep], kind[keep], low[keep]))]
-        asked, hot = np.flatnonzero(state == ASKED), np.flatnonzero(state == HOT)
+        rows = []
+        if is_hot.any():  # step E needs to know them; they travel by some bucket
+            rows.append((name % (1 << self.bits), name, pack(np.zeros(1, np.uint8), k[is_hot])))
+        asked, hot = np.flatnonzero((at >= 0) & ~is_hot[at]), np.flatnonzero((at >= 0) & is_hot[at])
         start, digest, doc = r.start[asked], r.digest[asked], r.doc[asked]
         end, route = start + r.windows[asked] + WINDOW - 1, r.key[asked]
         if len(hot):
             ws, wd, wdoc = self._windows(chunk, r, hot)
             start, digest, doc = np.concatenate((start, ws)), np.concatenate((digest, wd)), np.concatenate((doc, wdoc))
             end, route = np.concatenate((end, ws + WINDOW)), np.concatenate((route, mix(wd) >> U64(64 - KEY_BITS)))
-        ids = chunk.doc_ids[doc]
-        order = np.lexsort((ids, digest, route))
-        route, digest, ids, start, end = route[order], digest[order], ids[order], start[order], end[order]
         if len(route):
+            order = np.lexsort((digest, route))
+            route, digest, start, end, ids = route[order], digest[order], start[order], end[order], chunk.doc_ids[doc[order]]
             head = _heads(route, digest)
-            route, digest, ids, start, end = route[head], digest[head], ids[head], start[head], end[head]
+            low = np.minimum.reduceat(ids, head)
+            route, digest, start, end = route[head], digest[head], start[head], end[head]
             for bucket, p in _by_bucket(self._bucket(route)):
                 texts = [chunk.content(s, e) for s, e in zip(start[p].tolist(), end[p].tolist(), strict=True)]
-                sizes = np.array([len(x) for x in texts], np.uint32)
+                sizes = narrow(np.array([len(x) for x in texts], np.int64))
                 joined = np.frombuffer(b"".join(texts), np.uint8)
-                rows.append((bucket, name, pack(np.ones(1, np.uint8), route[p], digest[p], *pack_ids(ids[p]), sizes, joined)))
+                rows.append((bucket, name, pack(np.ones(1, np.uint8), self._inside(route[p]), digest[p], *pack_ids(low[p]), sizes, joined)))
         return _rows(rows, _ROW_SCHEMA)
 
     def d(self, key: tuple, table: pa.Table) -> pa.Table:
@@ -332,53 +356,44 @@ class Exchange:
             np.add.at(cover, start, 1)
             np.add.at(cover, start + windows + WINDOW - 1, -1)
 
-        payloads = [unpack(x) for x in told.column("payload").to_pylist()]
         r = chunk.runs()
         if len(r.key):
-            ids = chunk.doc_ids[r.doc]
-            order = np.lexsort((ids, r.digest))
+            order = np.argsort(r.digest, kind="stable")
             r = Runs(*(x[order] for x in (r.start, r.windows, r.key, r.digest, r.doc)))
-            ids = ids[order]
+            chunk.confirm(r.start, r.windows + WINDOW - 1, r.digest)
+            ids = chunk.doc_ids[r.doc]
             head = _heads(r.digest)
-            low = np.repeat(ids[head], np.diff(np.append(head, len(ids))))
-            hit = ids > low
-            for parts in payloads:
-                if parts[0][0] == 0:
-                    _, k, kind, smaller = parts
-                    at = self._find(k, r.key)
-                    if len(k):
-                        state = np.where(at >= 0, kind[at], 255)
-                        hit |= (state == UNIFORM) & (ids > smaller[at])
-                        hot = np.flatnonzero(state == HOT)
-                        if len(hot):
-                            self._hot(chunk, r, hot, payloads, covered)
-                else:
-                    _, g, first, n, smaller = parts
-                    s, e = np.searchsorted(r.digest, g, "left"), np.searchsorted(r.digest, g, "right")
-                    each = e - s
-                    told_by = np.repeat(np.arange(len(g)), each)
-                    run = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(s, each)
-                    ok = ids[run] > smaller[told_by]
-                    run, told_by = run[ok], told_by[ok]
-                    covered(r.start[run] + first[told_by], np.where(n[told_by] < 0, r.windows[run], n[told_by]))
+            hit = ids > np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(ids))))
+            payloads = [unpack(x) for x in told.column("payload").to_pylist()]
+            answers = [p[1:] for p in payloads if p[0][0] == 1]
+            for p in payloads:
+                if p[0][0] == 0:
+                    self._hot(chunk, r, np.flatnonzero(self._find(p[1], r.key) >= 0), answers, covered)
+            for g, first, n, smaller in answers:
+                s, e = np.searchsorted(r.digest, g, "left"), np.searchsorted(r.digest, g, "right")
+                each = e - s
+                told_by = np.repeat(np.arange(len(g)), each)
+                run = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(s, each)
+                ok = ids[run] > smaller[told_by]
+                run, told_by = run[ok], told_by[ok]
+                covered(r.start[run] + first[told_by], np.where(n[told_by] < 0, r.windows[run], n[told_by]))
             covered(r.start[hit], r.windows[hit])
         return self.finish(chunk, np.cumsum(cover[:-1]) > 0, self.out)
 
-    def _hot(self, chunk: Chunk, r: Runs, hot: np.ndarray, payloads: list, covered) -> None:
+    def _hot(self, chunk: Chunk, r: Runs, hot: np.ndarray, answers: list, covered) -> None:
+        """Cover the windows of hot runs that an answer, or another document of the chunk, gives a smaller id."""
         start, digest, doc = self._windows(chunk, r, hot)
-        ids = chunk.doc_ids[doc]
-        order = np.lexsort((ids, digest))
-        start, digest, ids = start[order], digest[order], ids[order]
+        order = np.argsort(digest, kind="stable")
+        start, digest, ids = start[order], digest[order], chunk.doc_ids[doc[order]]
+        chunk.confirm(start, np.full(len(start), WINDOW), digest)
         head = _heads(digest)
-        hit = ids > np.repeat(ids[head], np.diff(np.append(head, len(ids))))
-        for parts in payloads:
-            if parts[0][0] == 1:
-                g, smaller = parts[1], parts[4]
-                by = np.lexsort((smaller, g))
-                g, smaller = g[by], smaller[by]
-                first = _heads(g)
-                at = self._find(g[first], digest)
-                hit |= (at >= 0) & (ids > smaller[first][at])
+        hit = ids > np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(ids))))
+        for g, _, _, smaller in answers:
+            by = np.lexsort((smaller, g))
+            g, smaller = g[by], smaller[by]
+            first = _heads(g)
+            at = self._find(g[first], digest)
+            hit |= (at >= 0) & (ids > smaller[first][at])
         covered(start[hit], np.ones(int(hit.sum()), np.int64))
 
 

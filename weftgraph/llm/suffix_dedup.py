@@ -9,8 +9,10 @@ writes the transform and the prefix column from end to end, as sequential files
 on in parts of at most PART_STRINGS, so these columns stay in memory. After as many rounds as the longest string has
 bytes, suffixes with a common prefix of 50 or more hold equal 50-byte strings.
 
-Before the sort, strings without a window whose digest another string of their minimiser has are left out and the rest
-are cut to the stretch that has such windows; the sort then compares the bytes themselves.
+Equal strings of a bucket are one string to the sort, with the smallest of their ids; they are compared as bytes. Before
+the sort, strings without a window whose digest another string of their minimiser has are left out and the rest are cut
+to the stretch that has such windows: equal windows have equal digests, so this loses nothing, and only the sort, by the
+bytes themselves, finds a window repeated.
 
 A direct construction over whole documents would need as many rounds as the longest document has bytes, each over the
 whole transform, which no cluster can run; the minimiser buckets make the strings short without losing a match.
