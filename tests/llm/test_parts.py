@@ -70,10 +70,10 @@ def test_column_suffix_sort():
 def test_solvers_find_smaller_ids():
     passage = bytes(range(97, 123)) * 3
     found = suffix_dedup.match_windows([b"xx" + passage[:60], passage[:60] + b"yy"], np.array([1, 5]), np.array([7, 7], np.uint64))
-    assert found == [(1, 0, 11, 1)]
+    assert found.tolist() == [[1, 0, 11, 1]]
     text = " ".join(f"w{i}" for i in range(52)).encode()
     found = substring_dedup.sort_windows([b"x " + text, text + b" y"], np.array([1, 5]), np.array([7, 7], np.uint64))
-    assert found == [(1, 0, 1, 1), (1, 1, 1, 1), (1, 2, 1, 1)]
+    assert found.tolist() == [[1, 0, 1, 1], [1, 1, 1, 1], [1, 2, 1, 1]]
 
 
 def test_word_table():

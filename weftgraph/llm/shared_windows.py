@@ -41,11 +41,11 @@ BUCKET_BYTES = 2 << 20
 BLOCK_SYMBOLS = 1 << 20
 HOT_RUNS = 5000
 KEY_BITS = 40
-CONFIRM_ROWS = 1 << 13
+CONFIRM_BYTES = 1 << 20
 _ROW = "bucket int, chunk int, payload binary"
 _BACK = "chunk int, payload binary"
-#: (contents, least ids, minimisers) -> (content, first window, windows, smaller id)
-Solver = Callable[[list[bytes], np.ndarray, np.ndarray], list[tuple[int, int, int, int]]]
+#: (contents, least ids, minimisers) -> (content, first window, windows, smaller id), one row each
+Solver = Callable[[list[bytes], np.ndarray, np.ndarray], np.ndarray]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -81,6 +81,22 @@ def narrow(sizes: np.ndarray) -> np.ndarray:
     return sizes.astype(np.min_scalar_type(int(sizes.max())) if len(sizes) else np.uint8)
 
 
+def stretch(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of each stretch, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def confirm_equal(raw: np.ndarray, start: np.ndarray, size: np.ndarray, digest: np.ndarray) -> None:
+    """Stretches of raw that stand next to each other with one digest must be equal byte by byte."""
+    again = np.flatnonzero(digest[1:] == digest[:-1]) + 1
+    equal = bool((size[again] == size[again - 1]).all())
+    cuts = np.flatnonzero(np.diff(np.cumsum(size[again]) // CONFIRM_BYTES)) + 1
+    for some in np.split(again, cuts) if equal else ():
+        equal &= bool((raw[stretch(start[some], size[some])] == raw[stretch(start[some - 1], size[some])]).all())
+    if not equal:
+        raise ArithmeticError("two different stretches have one digest; change the seed in words.py")
+
+
 @dataclass
 class Runs:
     start: np.ndarray  # first symbol
@@ -120,21 +136,21 @@ class Chunk:
             return b" ".join(t.data[t.start[start] : t.end[end - 1]].split())
         return self.data[start:end]
 
+    def contents(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and bytes of symbol ranges, one after the other."""
+        if self.words:
+            texts = [self.content(s, e) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+            return np.array([len(x) for x in texts], np.int64), np.frombuffer(b"".join(texts), np.uint8)
+        return end - start, np.frombuffer(self.data, np.uint8)[stretch(start, end - start)]
+
     def confirm(self, start: np.ndarray, size: np.ndarray, digest: np.ndarray) -> None:
         """Stretches come sorted by digest; those of one digest must be equal symbol by symbol."""
-        again = np.flatnonzero(digest[1:] == digest[:-1]) + 1
-        equal = True
-        if self.words:
-            equal = all(self.content(s, s + n) == self.content(t, t + n) for s, t, n in zip(start[again].tolist(), start[again - 1].tolist(), size[again].tolist(), strict=True))
-        elif len(again):
-            raw = np.frombuffer(self.data + bytes(WINDOW + WINDOW), np.uint8)
-            inside = np.arange(int(size[again].max()))
-            for at in range(0, len(again), CONFIRM_ROWS):
-                some = again[at : at + CONFIRM_ROWS]
-                differ = raw[start[some][:, None] + inside] != raw[start[some - 1][:, None] + inside]
-                equal &= not (differ & (inside < size[some][:, None])).any()
-        if not equal:
-            raise ArithmeticError("two different stretches have one digest; change the seed in words.py")
+        if not self.words:
+            return confirm_equal(np.frombuffer(self.data, np.uint8), start, size, digest)
+        same = digest[1:] == digest[:-1]
+        some = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(digest) else digest
+        n, raw = self.contents(start[some], start[some] + size[some])
+        confirm_equal(raw, np.cumsum(n) - n, n, digest[some])
 
     def runs(self) -> Runs:
         """All runs of all documents with an id; a run has at most WINDOW - gram + 1 windows."""
@@ -274,8 +290,7 @@ class Exchange:
     def _windows(self, chunk: Chunk, r: Runs, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, digest, document) of each window of the chosen runs."""
         n = r.windows[chosen]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(r.start[chosen], n) + inside
+        start = stretch(r.start[chosen], n)
         return start, chunk.digest(start, start + WINDOW), np.repeat(r.doc[chosen], n)
 
     def c(self, key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -303,49 +318,48 @@ class Exchange:
             low = np.minimum.reduceat(ids, head)
             route, digest, start, end = route[head], digest[head], start[head], end[head]
             for bucket, p in _by_bucket(self._bucket(route)):
-                texts = [chunk.content(s, e) for s, e in zip(start[p].tolist(), end[p].tolist(), strict=True)]
-                sizes = narrow(np.array([len(x) for x in texts], np.int64))
-                joined = np.frombuffer(b"".join(texts), np.uint8)
-                rows.append((bucket, name, pack(np.ones(1, np.uint8), self._inside(route[p]), digest[p], *pack_ids(low[p]), sizes, joined)))
+                sizes, joined = chunk.contents(start[p], end[p])
+                rows.append((bucket, name, pack(np.ones(1, np.uint8), self._inside(route[p]), digest[p], *pack_ids(low[p]), narrow(sizes), joined)))
         return _rows(rows, _ROW_SCHEMA)
 
     def d(self, key: tuple, table: pa.Table) -> pa.Table:
-        rows, sent = [], []
+        rows, parts = [], []
         for chunk, payload in _payloads(table):
-            parts = unpack(payload)
-            if parts[0][0] == 0:
+            got = unpack(payload)
+            if got[0][0] == 0:
                 rows.append((chunk, payload))
             else:
-                sent.append((chunk, parts))
-        contents: dict[tuple[int, bytes], int] = {}
-        least: list[int] = []
-        uses: list[list[tuple[int, int, int]]] = []  # per content: chunk, digest, least id there
-        for chunk, (_, route, digest, low, rest, sizes, joined) in sent:
-            raw, at = joined.tobytes(), 0
-            for m, g, i, n in zip(route.tolist(), digest.tolist(), unpack_ids(low, rest).tolist(), sizes.tolist(), strict=True):
-                c = contents.setdefault((m, raw[at : at + n]), len(least))
-                at += n
-                if c == len(least):
-                    least.append(i)
-                    uses.append([])
-                least[c] = min(least[c], i)
-                uses[c].append((chunk, g, i))
-        back: dict[int, list[tuple[int, int, int, int]]] = {}
-        if contents:
-            order = sorted(contents, key=lambda x: x[0])
-            place = [contents[x] for x in order]
-            found = self.solver([x[1] for x in order], np.array([least[c] for c in place], np.int64), np.array([x[0] for x in order], U64))
-            for c, first, n, smaller in found:
-                for chunk, g, i in uses[place[c]]:
-                    if smaller < i:
-                        back.setdefault(chunk, []).append((g, first, n, smaller))
-            for c, use in enumerate(uses):
-                for chunk, g, i in use:
-                    if least[c] < i:
-                        back.setdefault(chunk, []).append((g, 0, -1, least[c]))
-        for chunk, got in back.items():
-            g, first, n, smaller = zip(*got, strict=True)
-            rows.append((chunk, pack(np.ones(1, np.uint8), np.array(g, U64), np.array(first, np.int32), np.array(n, np.int32), np.array(smaller, np.int64))))
+                _, route, digest, low, rest, sizes, joined = got
+                parts.append((np.full(len(route), chunk, np.int32), route, digest, unpack_ids(low, rest), sizes.astype(np.int64), joined))
+        if not parts:
+            return _rows(rows, _BACK_SCHEMA)
+        chunk, route, digest, ids, size, joined = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        start = np.cumsum(size) - size
+        order = np.lexsort((digest, route))
+        chunk, route, digest, ids, size, start = (x[order] for x in (chunk, route, digest, ids, size, start))
+        head = _heads(route, digest)
+        confirm_equal(joined, start, size, digest)
+        uses, least = np.diff(np.append(head, len(ids))), np.minimum.reduceat(ids, head)
+        smaller = np.repeat(least, uses)
+        whole = np.flatnonzero(ids > smaller)
+        answers = [(whole, np.zeros(len(whole), np.int16), np.full(len(whole), -1, np.int16), smaller[whole])]
+        by_route = _heads(route[head])
+        contents = np.diff(np.append(by_route, len(head)))
+        asked = np.flatnonzero(np.repeat(contents > 1, contents))  # minimisers with several contents
+        if len(asked):
+            begin, end = start[head[asked]], start[head[asked]] + size[head[asked]]
+            texts = [joined[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)]
+            found = self.solver(texts, least[asked], route[head[asked]].astype(U64))
+            content, found = asked[found[:, 0]], found[:, 1:]
+            use, by = stretch(head[content], uses[content]), np.repeat(np.arange(len(content)), uses[content])
+            use, by = use[found[by, 2] < ids[use]], by[found[by, 2] < ids[use]]
+            answers.append((use, found[by, 0].astype(np.int16), found[by, 1].astype(np.int16), found[by, 2]))
+        use, first, n, smaller = (np.concatenate(x) for x in zip(*answers, strict=True))
+        order = np.argsort(chunk[use], kind="stable")
+        use, first, n, smaller = use[order], first[order], n[order], smaller[order]
+        for c, p in _by_bucket(chunk[use]):
+            rows.append((c, pack(np.ones(1, np.uint8), digest[use[p]], first[p], n[p], *pack_ids(smaller[p]))))
         return _rows(rows, _BACK_SCHEMA)
 
     def e(self, key: tuple, docs: pa.Table, told: pa.Table) -> pa.Table:
@@ -365,7 +379,7 @@ class Exchange:
             head = _heads(r.digest)
             hit = ids > np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(ids))))
             payloads = [unpack(x) for x in told.column("payload").to_pylist()]
-            answers = [p[1:] for p in payloads if p[0][0] == 1]
+            answers = [(g, first.astype(np.int64), n.astype(np.int64), unpack_ids(*low)) for _, g, first, n, *low in (p for p in payloads if p[0][0] == 1)]
             for p in payloads:
                 if p[0][0] == 0:
                     self._hot(chunk, r, np.flatnonzero(self._find(p[1], r.key) >= 0), answers, covered)
@@ -373,7 +387,7 @@ class Exchange:
                 s, e = np.searchsorted(r.digest, g, "left"), np.searchsorted(r.digest, g, "right")
                 each = e - s
                 told_by = np.repeat(np.arange(len(g)), each)
-                run = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(s, each)
+                run = stretch(s, each)
                 ok = ids[run] > smaller[told_by]
                 run, told_by = run[ok], told_by[ok]
                 covered(r.start[run] + first[told_by], np.where(n[told_by] < 0, r.windows[run], n[told_by]))

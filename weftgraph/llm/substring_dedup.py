@@ -23,8 +23,9 @@ GRAM_WORDS = 8
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def sort_windows(contents: list[bytes], least: np.ndarray, minimisers: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """For each string, the windows that a string of smaller id has as well. Strings come in order of minimiser."""
+def sort_windows(contents: list[bytes], least: np.ndarray, minimisers: np.ndarray) -> np.ndarray:
+    """(string, window, 1, smaller id): the windows that a string of smaller id has as well. Strings come in order of
+    minimiser."""
     found: list[tuple[int, int, int, int]] = []
     ids = least.tolist()
     head = np.flatnonzero(np.concatenate(([True], minimisers[1:] != minimisers[:-1]))).tolist()
@@ -44,7 +45,7 @@ def sort_windows(contents: list[bytes], least: np.ndarray, minimisers: np.ndarra
                 before, low = text, doc
             elif low < doc:
                 found.append((c, i, 1, low))
-    return found
+    return np.array(found, np.int64).reshape(-1, 4)
 
 
 def _finish(chunk: Chunk, covered: np.ndarray, out: pa.Schema) -> pa.Table:

@@ -25,6 +25,7 @@ length is read whole.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,38 +114,38 @@ def _promising(contents: list[bytes], least: np.ndarray, minimisers: np.ndarray)
     return owner[kept], np.minimum.reduceat(offset, kept), np.maximum.reduceat(offset, kept) + WINDOW
 
 
-def match_windows(contents: list[bytes], least: np.ndarray, minimisers: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """For each string, the windows that a string of smaller id has as well. Strings come in order of minimiser."""
-    found: list[tuple[int, int, int, int]] = []
-    string, begin, end = _promising(contents, least, minimisers)
-    key = minimisers[string]
-    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))).tolist()
-    part: list[int] = []
-
-    def solve() -> None:
-        chosen, skipped = string[part], begin[part]
-        which, offset, prefix = column_suffix_sort([contents[string[i]][begin[i] : end[i]] for i in part])
-        ids = least[chosen][which]
+def _blocks(minimisers: np.ndarray) -> Iterator[slice]:
+    """Slices of about PART_STRINGS strings that keep those of a minimiser together."""
+    ends = np.append(np.flatnonzero(minimisers[1:] != minimisers[:-1]) + 1, len(minimisers))
+    begin = 0
+    while begin < len(minimisers):
+        end = int(ends[min(np.searchsorted(ends, begin + PART_STRINGS), len(ends) - 1)])
+        yield slice(begin, end)
+        begin = end
+
+
+def match_windows(contents: list[bytes], least: np.ndarray, minimisers: np.ndarray) -> np.ndarray:
+    """(string, first window, windows, smaller id): what of each string a string of smaller id has as well. Strings come
+    in order of minimiser."""
+    found = [np.empty((0, 4), np.int64)]
+    for some in _blocks(minimisers):
+        string, begin, end = _promising(contents[some], least[some], minimisers[some])
+        if not len(string):
+            continue
+        string = string + some.start
+        which, offset, prefix = column_suffix_sort([contents[i][s:e] for i, s, e in zip(string.tolist(), begin.tolist(), end.tolist(), strict=True)])
+        ids = least[string][which]
         group = np.flatnonzero(prefix < WINDOW)
         low = np.repeat(np.minimum.reduceat(ids, group), np.diff(np.append(group, len(ids))))
-        length = (end[part] - skipped)[which] - offset
-        hit = np.flatnonzero((low < ids) & (length >= WINDOW))
-        rows = np.stack((chosen[which[hit]], offset[hit] + skipped[which[hit]], low[hit]))
-        rows = rows[:, np.lexsort((rows[1], rows[0]))]
-        new = np.ones(rows.shape[1], bool)
-        new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1] + 1) | (rows[2, 1:] != rows[2, :-1])
+        hit = np.flatnonzero((low < ids) & ((end - begin)[which] - offset >= WINDOW))
+        rows = np.stack((string[which[hit]], offset[hit] + begin[which[hit]], low[hit]), 1)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1] + 1) | (rows[1:, 2] != rows[:-1, 2])
         first = np.flatnonzero(new)
-        n = np.diff(np.append(first, rows.shape[1]))
-        found.extend(zip(rows[0, first].tolist(), rows[1, first].tolist(), n.tolist(), rows[2, first].tolist(), strict=True))
-
-    for s, e in zip(head, [*head[1:], len(key)][: len(head)], strict=True):
-        part += range(s, e)
-        if len(part) >= PART_STRINGS:
-            solve()
-            part = []
-    if part:
-        solve()
-    return found
+        n = np.diff(np.append(first, len(rows)))
+        found.append(np.stack((rows[first, 0], rows[first, 1], n, rows[first, 2]), 1))
+    return np.concatenate(found)
 
 
 def _finish(chunk: Chunk, covered: np.ndarray, out: pa.Schema) -> pa.Table:
