@@ -46,14 +46,12 @@ def _text(t):
     return t or ""
 
 
-def test_exact_dedup(docs, empty, monkeypatch):
+def test_exact_dedup(docs, empty):
     groups = {}
     for i, t, *_ in ROWS:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", _text(t)), []).append((-len(_text(t)), i is None, i))
-    for limit in (None, 1):
-        if limit:  # all groups of two and more take the way of hot groups
-            monkeypatch.setattr(exact_dedup, "max", lambda *_: limit, raising=False)
-        got = exact_dedup.exact_dedup(docs).collect()
+    for ranges in (1, 20, 256):  # no, some and all groups of two and more are salted
+        got = exact_dedup.exact_dedup(docs, ranges=ranges).collect()
         assert len(got) == len(ROWS)
         for r in got:
             norm = re.sub(r"[\x20\x09-\x0D]", "", _text(r.text))
@@ -61,8 +59,9 @@ def test_exact_dedup(docs, empty, monkeypatch):
             assert (r.keep_id, r.group_size, r.text_sha256) == (min(g)[2], len(g), hashlib.sha256(norm.encode()).hexdigest())
         assert Counter(r.text_sha256 for r in got if r.kept) == Counter({r.text_sha256: 1 for r in got})
     assert exact_dedup.exact_dedup(empty).count() == 0
-    clash = docs.withColumn("kept", F.lit("x")).withColumn("group_size", F.lit("y"))
-    assert exact_dedup.exact_dedup(clash).filter("kept").count() == len(groups)
+    clash = docs.withColumns({c: F.lit(c) for c in ("kept", "group_size", "hash", "salt", "row", "first", "norm", "id", "head")})
+    got = exact_dedup.exact_dedup(clash).filter("kept")
+    assert got.count() == len(groups) and got.filter("hash = 'hash' AND row = 'row' AND id = 'id' AND norm = 'norm'").count() == len(groups)
 
 
 def test_mixing_keeps_every_source_within_a_block(docs, empty):

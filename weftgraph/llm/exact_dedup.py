@@ -1,12 +1,15 @@
 """Exact dedup by content sort, in DataFrame functions only.
 
-Rows are range-partitioned by sampled splitters over (first bytes of the normalised text, its SHA-256), sorted
-externally inside each range, and a window over neighbouring rows compares the whole normalised texts. The digest only
-breaks ties between texts that begin alike, so that common openings still split; equality is decided by the text.
+Rows are range-partitioned by sampled splitters and sorted externally by the whole normalised text inside each range, so
+equal texts are neighbours; windows over neighbours compare the whole texts and retain the smallest identifier. A
+splitter is the text's first HEAD_CHARS characters, then a 64-bit hash of all of it, so that texts of one opening still
+split, then a salt.
 
-A text that more than 1/256 of all rows share would sort into one task. Fewer than 256 such texts can exist; they are
-found by a count that combines on the map side, grouped by whole text with map-side combine as well, and their rows
-are answered by a broadcast of those fewer than 256 groups, so no row of a hot group is shuffled.
+The salt is 0 but for texts that more rows share than one range should hold: of n copies, ceil(n / limit) salts take
+their share by id, limit being 1/RANGES of all rows. Fewer than RANGES hashes can have more copies than that; they and
+their numbers of salts are what is broadcast. Each range retains its best row of a salted text, and these rows, fewer
+than 2 * RANGES, are compared by the same windows again. So all rows take one way, no range gets more than about
+1/RANGES of all rows from one text, and no text is broadcast.
 
 Cases: null text counts as empty and equals texts of white space only; a null id sorts after every other id; of rows
 equal in text, length and id any one stays; an empty table gives an empty result; columns named like the results are
@@ -18,61 +21,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SPACE_CLASS
+from weftgraph.llm.common import SPACE_CLASS, staged
 
-HOT_SHARE = 256
-HEAD_CHARS = 16
+RANGES = 256
+HEAD_CHARS = 64
 _RESULT = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def _normalised(text_col: str) -> Column:
-    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE_CLASS + "+", "")
+def _normalised(text: Column) -> Column:
+    return F.regexp_replace(text, SPACE_CLASS + "+", "")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES) -> DataFrame:
     """df plus keep_id, group_size, kept, text_sha256; every row of df stays, dropped ones too."""
-    rows = df.drop(*_RESULT)
-    norm = _normalised(text_col)
-    keyed = rows.withColumn("text_sha256", F.sha2(norm, 256)).withColumn("_head", F.substring(norm, 1, HEAD_CHARS))
-    total = rows.count()
-    limit = max(1000, total // HOT_SHARE)
-    counts = keyed.groupBy("text_sha256").count()
-    hot = [r[0] for r in counts.filter(F.col("count") > limit).select("text_sha256").collect()]  # fewer than HOT_SHARE
-    best = [F.col("_chars").desc(), F.col(id_col).asc_nulls_last()]
-    is_hot = F.col("text_sha256").isin(hot) if hot else F.lit(False)
-
-    cold = (
-        keyed.filter(~is_hot)
-        .repartitionByRange("_head", "text_sha256")
-        .withColumn("_norm", norm)
-        .withColumn("_chars", F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
-    )
-    same = Window.partitionBy("_head", "text_sha256", "_norm")
+    names = [c for c in df.columns if c not in _RESULT]
+    # The row travels as one column, so that no name of its can clash.
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    rows = df.select(F.struct(*names).alias("row")).withColumn("norm", _normalised(text))
+    keyed = rows.select("row", F.substring("norm", 1, HEAD_CHARS).alias("head"), F.xxhash64("norm").alias("hash"), F.col("row")[id_col].alias("id"))
+
+    limit = max(1, df.count() // ranges)
+    copies = keyed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+    copies = copies.select("hash", F.expr(f"(n + {limit} - 1) div {limit}").alias("salts"))  # fewer than 2 * ranges rows
+    salted = keyed.join(F.broadcast(copies), "hash", "left")
+    salted = salted.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), "salts")).otherwise(0))
+
+    sorted_rows = salted.repartitionByRange("head", "hash", "salt").withColumns({"norm": _normalised(text), "chars": F.char_length(text)})
+    best = [F.col("chars").desc(), F.col("id").asc_nulls_last()]
+    same = Window.partitionBy("norm", "head", "hash", "salt")
     run = same.orderBy(*best)
-    cold = cold.select(
-        *rows.columns,
-        "text_sha256",
-        F.first(F.col(id_col)).over(run).alias("keep_id"),
-        F.count(F.lit(1)).over(same).alias("group_size"),
-        (F.row_number().over(run) == 1).alias("kept"),
-    )
-    out = [*rows.columns, "keep_id", "group_size", "kept", "text_sha256"]
-    if not hot:
-        return cold.select(*out)
-
-    mine = keyed.filter(is_hot).withColumn("_norm", norm).withColumn("_chars", F.char_length(F.coalesce(F.col(text_col), F.lit(""))))
-    rank = F.struct(F.col("_chars"), F.col(id_col).isNotNull(), -F.col(id_col))
-    groups = mine.groupBy("text_sha256", "_norm").agg(F.max(rank).alias("_best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select(
-        "text_sha256", "_norm", "group_size", F.col("_best._chars").alias("_keep_chars"), (-F.col("_best.col3")).alias("keep_id")
+    local = sorted_rows.select(
+        "row", "hash", "salt", "salts",
+        F.sha2("norm", 256).alias("sha256"),
+        F.first("id").over(run).alias("keep_id"),
+        F.first("chars").over(run).alias("chars"),
+        F.count(F.lit(1)).over(same).alias("n"),
+        (F.row_number().over(run) == 1).alias("first"),
+    )
+    local = staged(local, "exact-runs")
+
+    heads = local.filter("first AND salts IS NOT NULL").select("hash", "salt", "sha256", F.col("keep_id").alias("id"), "chars", "n", _normalised(text).alias("norm"))
+    every = Window.partitionBy("norm")
+    run = every.orderBy(*best)
+    merged = heads.select(
+        "hash", "salt", "sha256",
+        F.struct(F.first("id").over(run).alias("keep_id"), F.sum("n").over(every).alias("n"), (F.row_number().over(run) == 1).alias("first")).alias("whole"),
+    )
+    done = local.join(F.broadcast(merged), ["hash", "salt", "sha256"], "left")
+    whole, salted_row = F.col("whole"), F.col("whole").isNotNull()
+    return done.select(
+        *[F.col("row")[c].alias(c) for c in names],
+        F.when(salted_row, whole["keep_id"]).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.when(salted_row, whole["n"]).otherwise(F.col("n")).alias("group_size"),
+        (F.col("first") & (~salted_row | whole["first"])).alias("kept"),
+        F.col("sha256").alias("text_sha256"),
     )
-    one = mine.join(F.broadcast(groups), ["text_sha256", "_norm"])
-    # Rows repeated with the kept id and length: only the first of them stays.
-    tie = Window.partitionBy("text_sha256", id_col, "_chars").orderBy(id_col)
-    winner = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_chars") == F.col("_keep_chars"))
-    kept = one.filter(winner).withColumn("kept", F.row_number().over(tie) == 1)
-    lost = one.filter(~winner).withColumn("kept", F.lit(False))
-    return cold.select(*out).unionByName(kept.select(*out)).unionByName(lost.select(*out))
 
 
 SQL = r"""
