@@ -114,6 +114,7 @@ class Chunk:
         texts = as_bytes(table.column("text").combine_chunks())
         self.ids, self.texts, self.words, self.gram = order, texts, words, gram
         self.doc_ids = np.array([0 if x is None else x for x in order], np.int64)
+        self.no_id = np.array([x is None for x in order], bool)
         if words:
             t = WordTable(texts)
             self.table, self.first, value = t, t.first, t.hash
@@ -167,10 +168,11 @@ class Chunk:
             if width < span:
                 least = np.minimum(least[: e - s], least[span - width : span - width + e - s])
             at = np.arange(s, e)
-            doc = np.searchsorted(self.first, at, "right") - 1
-            valid = at + WINDOW <= self.first[doc + 1]
-            for d in [i for i, x in enumerate(self.ids) if x is None]:
-                valid &= doc != d
+            begin, end = np.searchsorted(self.first, (s, e - 1), "right") - (1, 0)
+            inside = np.diff(np.clip(self.first[begin : end + 1], s, e))
+            doc = np.repeat(np.arange(begin, end), inside)
+            last = np.where(self.no_id[begin:end], -1, self.first[begin + 1 : end + 1] - WINDOW)
+            valid = at <= np.repeat(last, inside)
             at, least, doc = at[valid], least[valid], doc[valid]
             if not len(at):
                 continue

@@ -39,19 +39,22 @@ PART_STRINGS = 2000
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def _logarithms(n: int) -> np.ndarray:
+    """Whole binary logarithms of 0 (as 0) to n."""
+    return (np.frexp(np.maximum(np.arange(n + 1), 1).astype(np.float64))[1] - 1).astype(np.int32)
+
+
+def _range_minimum(values: np.ndarray, low: np.ndarray, high: np.ndarray, logarithm: np.ndarray) -> np.ndarray:
     """Least of values[low..high], both ends included."""
-    levels = [values]
-    while 2 * (1 << (len(levels) - 1)) <= len(values):
-        last, half = levels[-1], 1 << (len(levels) - 1)
-        levels.append(np.minimum(last[:-half], last[half:]))
-    size = high - low + 1
-    level = np.frexp(size.astype(np.float64))[1] - 1
-    out = np.empty(len(low), values.dtype)
-    for k in np.unique(level):
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(levels[k][low[at]], levels[k][high[at] - (1 << k) + 1])
-    return out
+    n, size = len(values), high - low + 1
+    level = logarithm[size]
+    table = np.empty((int(level.max()) + 1 if len(level) else 1, n), values.dtype)
+    table[0] = values
+    for k in range(1, len(table)):
+        half, width = 1 << (k - 1), n - (1 << k) + 1
+        np.minimum(table[k - 1, :width], table[k - 1, half : half + width], out=table[k, :width])
+    flat, row = table.ravel(), level * np.int32(n)
+    return np.minimum(flat[row + low], flat[row + high + np.int32(1) - (np.int32(1) << level)])
 
 
 def column_suffix_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,9 +71,10 @@ def column_suffix_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
     text[np.arange(len(joined)) + np.repeat(np.arange(1, m + 1), size)] = joined.astype(kind) + kind(1)
     empty = (base + size).astype(np.int32)  # place of each string's last symbol: what stands before its empty suffix
     at, prefix = empty, np.zeros(m, np.uint8)
+    logarithm = _logarithms(len(text))
     for _ in range(int(size.max()) if m else 0):
         transform = text[at]
-        order = np.argsort(transform, kind="stable")
+        order = np.argsort(transform, kind="stable").astype(np.int32)
         order = order[len(transform) - int(np.count_nonzero(transform)) :]  # whole strings take no further symbol
         if not len(order):
             break
@@ -78,7 +82,7 @@ def column_suffix_sort(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
         same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
         longer = np.zeros(len(order), np.uint8)
         # Neighbours of one first symbol keep their order, so the stretch between their old places decides.
-        longer[same] = np.minimum(_range_minimum(prefix, order[same - 1] + 1, order[same]), 254) + 1
+        longer[same] = np.minimum(_range_minimum(prefix, order[same - 1] + np.int32(1), order[same], logarithm), 254) + 1
         at = np.concatenate((empty, at[order] - np.int32(1)))
         prefix = np.concatenate((np.zeros(m, np.uint8), longer))
     string = np.searchsorted(base, at, "right") - 1
