@@ -64,17 +64,17 @@ def test_exact_dedup(docs, empty):
     assert got.count() == len(groups) and got.filter("hash = 'hash' AND row = 'row' AND id = 'id' AND norm = 'norm'").count() == len(groups)
 
 
-def test_mixing_keeps_every_source_within_a_block(docs, empty):
-    got = mixing.mix_sources(docs, block_docs=2, resolution=40).collect()
+def test_mixing_cases(docs, empty):
+    got = mixing.mix_sources(docs, block_docs=2).collect()
     assert len(got) == len(ROWS)
     slots = {}
     for r in got:
         slots.setdefault(r.slot, set()).add((r.source or "", r.block))
-        assert r.release <= r.slot < r.deadline
-    assert all(len(x) == 1 for x in slots.values())
-    weights, horizon = mixing.mix_sources(docs, block_docs=1, resolution=40), min((r.slot for r in got if not r.on_target), default=10**9)
-    assert horizon > 0 and weights.count() == len(ROWS)
+        assert not r.on_target or r.release <= r.slot < r.deadline
+    assert sorted(slots) == list(range(len(slots))) and all(len(x) == 1 for x in slots.values())
     assert mixing.mix_sources(empty).count() == 0
+    clash = mixing.mix_sources(docs.withColumns({c: F.lit("x") for c in ("slot", "weight", "n", "before")}))
+    assert clash.filter("slot >= 0 AND weight = 'x' AND n = 'x' AND before = 'x'").count() == len(ROWS)
 
 
 def test_token_store(spark, docs, empty):

@@ -31,6 +31,9 @@ place; an empty table gives an empty result; columns named like the results are
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +43,10 @@ BLOCK_DOCS = 16
 SEGMENT = 128
 FAN = 64
 BUCKETS = 1024
-#: Default weights are floor(sqrt(documents) * ROOT_SCALE); given ones are multiples of the largest / GIVEN_SCALE.
-ROOT_SCALE, GIVEN_SCALE = 1 << 20, 1 << 40
+#: Default weights are floor(sqrt(documents) * ROOT_SCALE).
+ROOT_SCALE = 1 << 20
+#: Given weights are taken exactly if their common denominator makes them sum up to less, else in units of the largest / 2^50.
+WHOLE_SUM = 1 << 62
 #: Fixed values of the multiplicative congruential order: modulus 2^31 - 1 and multiplier 48271.
 MODULUS, MULTIPLIER = 2147483647, 48271
 _RESULT = ("block", "place", "release", "deadline", "slot", "on_target")
@@ -52,12 +57,20 @@ def source_key(source_col: str = "source") -> Column:
     return F.coalesce(F.col(source_col).cast("string"), F.lit(""))
 
 
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers, one at least, in the proportions of the weights."""
+    exact = {k: Fraction(v) for k, v in weights.items()}
+    unit = Fraction(math.gcd(*(x.numerator for x in exact.values())), math.lcm(*(x.denominator for x in exact.values())))
+    if sum(exact.values()) / unit >= WHOLE_SUM:
+        unit = max(exact.values()) / (1 << 50)
+    return {k: max(1, round(x / unit)) for k, x in exact.items()}
+
+
 def _shares(sizes: DataFrame, weights: dict[str, float] | None) -> DataFrame:
     """sizes plus weight, a whole number, one at least."""
     if weights is None:
         return sizes.withColumn("weight", F.greatest(F.floor(F.sqrt(F.col("docs").cast("double")) * ROOT_SCALE), F.lit(1).cast("long")))
-    top = max(weights.values())
-    whole = {k: max(1, round(v / top * GIVEN_SCALE)) for k, v in weights.items()}
+    whole = whole_weights(weights)
     given = sizes.sparkSession.createDataFrame(list(whole.items()), "source string, weight long")
     return sizes.join(given, "source", "left").fillna(min(whole.values()), ["weight"])
 
