@@ -16,8 +16,8 @@ the only way a link can be missed, and only if no chain of other links joins the
    component are not made.
 
 Cases: null, empty or white-space text has no shingles and is linked with nothing; a null id is linked with nothing and
-kept; repeated rows share a component and are all kept or not by their id; other columns are ignored; an empty table
-gives no rows. A worker holds the shingle hashes of the texts of one batch of BATCH_DOCS documents.
+kept; repeated rows share a component and are all kept or not by their id; two texts under one id are compared each
+under that id; other columns are ignored; an empty table gives no rows. A worker holds the shingle hashes of the texts of one batch of BATCH_DOCS documents.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_rows, as_bytes, batches, staged, with_text
+from weftgraph.llm.common import as_bytes, batches, sliced, staged, with_text
 from weftgraph.llm.components import components
 from weftgraph.llm.words import U64, WordTable, mix
 
@@ -39,6 +39,7 @@ ROWS = 2
 LEADERS = 4
 BATCH_DOCS = 512
 COMBINE_DOCS = 20_000
+HOT_SETS = 1024
 _SEEDS = mix(np.arange(1, 2 * SKETCHES * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _SLICE = 1 << 14
 
@@ -61,7 +62,7 @@ def _sketch(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batch_iter:
+        for b in sliced(batch_iter, BATCH_DOCS):
             rows: dict[str, list] = {f.name: [] for f in schema}
             rows["doc_id"] = b.column("doc_id").to_pylist()
             for s in _sets(b, k):
@@ -120,7 +121,7 @@ def _shingle_sets(k: int):
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batch_iter:
+        for b in sliced(batch_iter, BATCH_DOCS):
             yield batches({"rep": b.column("doc_id").to_pylist(), "shingles": [s.tobytes() for s in _sets(b, k)]}, schema)
 
     return run
@@ -130,7 +131,7 @@ def _verify(percent: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_iter:
+        for batch in sliced(batch_iter, BATCH_DOCS):
             rows: dict[str, list] = {"a": [], "b": []}
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
                 u, v = np.frombuffer(x, U64), np.frombuffer(y, U64)
@@ -145,7 +146,7 @@ def _verify(percent: int):
     return run
 
 
-QUERY_BLOCK, BASE_BLOCK = 256, 2000
+QUERY_BLOCK, BASE_BLOCK = 256, 512
 
 
 def _compare(percent: int):
@@ -200,11 +201,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(df: DataFrame, *, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept. Links: 100 * shared >= percent * union."""
-    arrow_rows(df.sparkSession, BATCH_DOCS)
     docs = with_text(df, id_col, text_col)
     sketched = staged(docs.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, digest binary, sketch array<long>"), "sketches")
     usable = sketched.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = usable.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    reps = usable.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
     reps = staged(reps, "representatives")
 
     tables = reps.select("rep", "sketch").mapInArrow(_local_tables, "route long, key long, rep long, leader long")
@@ -253,7 +253,14 @@ def near_duplicates(df: DataFrame, *, shingle: int = 5, percent: int = 80, id_co
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
 
-    result = sketched.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "n_shingles", "rep"), ["digest", "n_shingles"], "left")
-    result = result.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    of_set = reps.select("digest", "n_shingles", "rep", "copies").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    of_set = staged(of_set.select("digest", "n_shingles", F.coalesce("component", "rep").alias("component_id"), "copies"), "component-of-set")
+    # Fewer than HOT_SETS sets can have more than 1 / HOT_SETS of all documents; their documents are not shuffled.
+    limit = max(1, sketched.count() // HOT_SETS)
+    hot = of_set.filter(F.col("copies") > limit).select("digest", "n_shingles", F.col("component_id").alias("hot_id"))
+    cold = of_set.filter(F.col("copies") <= limit).select("digest", "n_shingles", "component_id")
+    linked = usable.select("doc_id", "n_shingles", "digest").join(F.broadcast(hot), ["digest", "n_shingles"], "left")
+    result = linked.filter("hot_id IS NOT NULL").select("doc_id", "n_shingles", F.col("hot_id").alias("component_id"))
+    result = result.unionByName(linked.filter("hot_id IS NULL").join(cold, ["digest", "n_shingles"]).select("doc_id", "n_shingles", "component_id"))
+    alone = sketched.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return result.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
