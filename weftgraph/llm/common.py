@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of one Arrow batch, and so what a Python worker holds of long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batch_iter: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches, which Spark bounds by bytes, in slices of few rows: so many texts a worker turns into objects at once."""
+    for b in batch_iter:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def with_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing
-from weftgraph.llm.common import arrow_rows, batches, staged, with_text
+from weftgraph.llm.common import batches, sliced, staged, with_text
 from weftgraph.llm.tokens import piece_encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -48,18 +48,16 @@ def _cut(path: str, kind: str, end_id: int, capacity: int, more: tuple[tuple[str
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = piece_encoder(path, kind), np.array([end_id], "<u4").tobytes()
-        for b in batch_iter:
-            for at in range(0, b.num_rows, ENCODE_DOCS):
-                some = b.slice(at, ENCODE_DOCS)
-                rows: dict[str, list] = {f.name: [] for f in schema}
-                along = zip(*(some.column(name).to_pylist() for name, _ in more), strict=True) if more else [()] * some.num_rows
-                for doc_id, got, rest in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), along, strict=True):
-                    ids = got + end
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[s : s + 4 * capacity]
-                        for name, x in zip(rows, (doc_id, k, s // 4, len(part) // 4, zlib.crc32(part), *rest), strict=True):
-                            rows[name].append(x)
-                yield batches(rows, schema)
+        for some in sliced(batch_iter, ENCODE_DOCS):
+            rows: dict[str, list] = {f.name: [] for f in schema}
+            along = zip(*(some.column(name).to_pylist() for name, _ in more), strict=True) if more else [()] * some.num_rows
+            for doc_id, got, rest in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), along, strict=True):
+                ids = got + end
+                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[s : s + 4 * capacity]
+                    for name, x in zip(rows, (doc_id, k, s // 4, len(part) // 4, zlib.crc32(part), *rest), strict=True):
+                        rows[name].append(x)
+            yield batches(rows, schema)
 
     return run
 
@@ -139,7 +137,6 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[li
 def pack_documents(df: DataFrame, *, vocabulary: str | None = None, kind: str = "word", end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = df.sparkSession
-    arrow_rows(spark)
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
     pieces = staged(with_text(df, id_col, text_col).mapInArrow(_cut(path, kind, end_id, capacity), PIECES), "pieces")
     pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)))
@@ -202,7 +199,6 @@ def pack_mixed(
     chunk_slots: int = CHUNK_SLOTS,
 ) -> DataFrame:
     """The columns of pack_documents; sequences follow the order that mix_sources deals the documents with weights."""
-    arrow_rows(df.sparkSession)
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
     more = (("source", pa.string()), ("_row", pa.int64()))
     rows = with_text(df, "doc_id", "text", mixing.source_key().alias("source"), F.monotonically_increasing_id().alias("_row"))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import arrow_rows, as_bytes, batches, code_point_offsets, join_spans, with_text
+from weftgraph.llm.common import as_bytes, batches, code_point_offsets, join_spans, sliced, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -305,7 +305,7 @@ def _scanner(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batch_iter:
+        for b in sliced(batch_iter):
             texts = as_bytes(b.column("text"))
             base = [base_spans(raw) if _ANY.search(raw) else [] for raw in texts]
             graph = Graph()
@@ -337,5 +337,4 @@ def _scanner(model: tuple[np.ndarray, np.ndarray, np.ndarray]):
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, and all spans."""
-    arrow_rows(df.sparkSession)
     return with_text(df, id_col, text_col).mapInArrow(_scanner(fitted()), SCHEMA)

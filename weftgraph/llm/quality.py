@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import SPACES, arrow_rows, as_bytes, few, staged, with_text
+from weftgraph.llm.common import SPACES, as_bytes, few, sliced, staged, with_text
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -78,7 +78,7 @@ def text_counts(raw: bytes) -> tuple[int, int, int, int, int]:
 
 def _counts(carry: tuple[str, ...]):
     def run(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batch_iter:
+        for b in sliced(batch_iter):
             got = [text_counts(raw) for raw in as_bytes(b.column("text"))]
             names = ("doc_id", "lang", "source", *carry)
             counts = [pa.array([x[i] for x in got], pa.int64()) for i in range(len(COUNTS))]
@@ -91,7 +91,6 @@ def text_statistics(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """doc_id, lang, source, the columns in carry as they are, and COUNTS."""
-    arrow_rows(df.sparkSession)
     more = (F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
     rows = with_text(df, id_col, text_col, *more, *carry)
     kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)

@@ -23,7 +23,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftgraph.llm.common import arrow_rows, as_bytes, batches, code_point_offsets, join_spans, with_text
+from weftgraph.llm.common import as_bytes, batches, code_point_offsets, join_spans, sliced, with_text
 
 BASE = ("assign", "access", "hex")
 _ASSIGN = re.compile(
@@ -95,7 +95,7 @@ def find_spans(raw: bytes) -> list[tuple[str, int, int]]:
 def _scan(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = {k: i for i, k in enumerate((*BASE, *_CHECKED))}
     schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
-    for b in batch_iter:
+    for b in sliced(batch_iter):
         rows: dict[str, list] = {f.name: [] for f in schema}
         for doc_id, raw in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), strict=True):
             spans = find_spans(raw)
@@ -114,5 +114,4 @@ def _scan(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: counts of the base kinds, digest of the base spans, and all spans."""
-    arrow_rows(df.sparkSession)
     return with_text(df, id_col, text_col).mapInArrow(_scan, SCHEMA)

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_rows, batches, shared_dir, with_text
+from weftgraph.llm.common import batches, few, shared_dir, sliced, with_text
 from weftgraph.llm.tokens import piece_encoder, tokenizer_path
 
 BLOCK = 256
@@ -128,16 +128,14 @@ def _encode(path: str, kind: str, end_id: int):
             return batches(row, schema)
 
         held = 0
-        for b in batch_iter:
-            for at in range(0, b.num_rows, ENCODE_DOCS):
-                some = b.slice(at, ENCODE_DOCS)
-                for doc_id, got in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
-                    docs.append(doc_id)
-                    ids.append(got + end)
-                    held += len(got) // 4 + 1
-                    if held >= SEGMENT_TOKENS:
-                        yield segment()
-                        held = 0
+        for some in sliced(batch_iter, ENCODE_DOCS):
+            for doc_id, got in zip(some.column("doc_id").to_pylist(), encoder.encode(some.column("text").to_pylist()), strict=True):
+                docs.append(doc_id)
+                ids.append(got + end)
+                held += len(got) // 4 + 1
+                if held >= SEGMENT_TOKENS:
+                    yield segment()
+                    held = 0
         if docs:
             yield segment()
 
@@ -146,7 +144,6 @@ def _encode(path: str, kind: str, end_id: int):
 
 def write_tokens(df: DataFrame, path: str, *, vocabulary: str, kind: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all documents, in id order, as segment files under path."""
-    arrow_rows(df.sparkSession)
     docs = with_text(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     docs.mapInArrow(_encode(vocabulary, kind, end_id), SEGMENTS).write.parquet(path)
 
@@ -156,7 +153,7 @@ _READ = "part int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
 def _decode(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("part", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "local", "n_tokens", "ids_crc32"))])
-    for b in batch_iter:
+    for b in sliced(batch_iter, 1):  # a row is a segment
         for row in b.to_pylist():
             lengths = pfor_decode(row["lengths"]).astype(np.int64)
             ids = pfor_decode(row["ids"]).astype("<u4").tobytes()
@@ -168,14 +165,13 @@ def _decode(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per stored document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a segment
     files = spark.read.schema(SEGMENTS).parquet(path)
     # One row a write task, whatever the corpus.
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     docs = files.select("part", "local_start", "doc_ids", "lengths", "ids").mapInArrow(_decode, _READ)
-    return docs.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(few(parts, parts.count()), "part").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op3(df: DataFrame) -> DataFrame:
