@@ -168,9 +168,11 @@ def mix_sources(
     weights: target weight by source, any positive scale; None: the square root of the source's documents. Sources
     that weights does not name get the smallest named weight.
     """
+    kept = [c for c in df.columns if c not in _RESULT]
     ident = F.coalesce(F.col(id_col), F.lit(0)).cast("long")
-    rows = df.drop(*_RESULT).withColumn("_src", source_key(source_col))
-    rows = rows.withColumn("_h", (F.pmod(ident, F.lit(MODULUS)) * F.lit(MULTIPLIER)) % F.lit(MODULUS))
+    # The row travels as one column, so that no name of its can clash.
+    rows = df.select(F.struct(*kept).alias("_row"), F.col(id_col).alias("_id"), source_key(source_col).alias("_src"), ident.alias("_h"))
+    rows = rows.withColumn("_h", (F.pmod("_h", F.lit(MODULUS)) * F.lit(MULTIPLIER)) % F.lit(MODULUS))
     rows = rows.withColumn("_bucket", F.col("_h") % buckets)
 
     counts = staged(rows.groupBy("_src", "_bucket").agg(F.count(F.lit(1)).alias("n")), "mix-buckets")
@@ -210,13 +212,12 @@ def mix_sources(
     by_bucket = parts.join(by_bucket, ["source", "_bucket"]).join(few(shares.select("source", "weight"), sources), "source")
     by_bucket = by_bucket.select(F.col("source").alias("_src"), "_bucket", F.col("before").alias("_before"), "weight", "_slots")
 
-    nth = Window.partitionBy("_src", "_bucket").orderBy("_h", id_col)
-    kept = [c for c in df.columns if c not in _RESULT]
+    nth = Window.partitionBy("_src", "_bucket").orderBy("_h", "_id")
     placed = rows.withColumn("_rn", F.row_number().over(nth)).join(by_bucket, ["_src", "_bucket"])
     placed = placed.withColumn("_pos", F.col("_before") + F.col("_rn") - 1).withColumn("block", F.expr(f"_pos div {block_docs}"))
     placed = placed.withColumn("slot", F.get("_slots", (F.col("block") - F.expr(f"_before div {block_docs}")).cast("int")))
     placed = _windows(placed, total or 1)
-    return placed.select(*kept, "block", (F.col("_pos") % block_docs).alias("place"), "release", "deadline", "slot", (F.col("slot") < horizon).alias("on_target"))
+    return placed.select(*[F.col("_row")[c].alias(c) for c in kept], "block", (F.col("_pos") % block_docs).alias("place"), "release", "deadline", "slot", (F.col("slot") < horizon).alias("on_target"))
 
 
 SQL = f"""
