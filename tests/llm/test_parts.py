@@ -1,5 +1,6 @@
 """The operators' building blocks against plain versions; no Spark."""
 
+import itertools
 import random
 import re
 import zlib
@@ -124,6 +125,54 @@ def test_personal_data_held_out_accuracy():
     assert added.sum() > 50 and (best[added] == truth[added]).mean() > 0.98
 
 
+def _added(text):
+    raw, graph = text.encode(), pii.Graph()
+    base = pii.base_spans(raw)
+    graph.add(0, raw, base)
+    found = pii.added_spans(graph, pii.marginals(graph, *pii.fitted()), [raw])
+    return [(k, raw[s:e].decode()) for _, k, s, e in found if not any(x < e and s < y for _, x, y in base)]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("The new office is at +1 (826) 555-4081 190.1.2.3 since May. After six, please dial 555-4081 instead.", [("phone", "+1 (826) 555-4081"), ("phone", "555-4081")]),
+        ("Send it to jane.roe@mail.example.com by noon. If jane.roe is away, try the desk.", [("email", "jane.roe")]),
+        ("They charged 4111111111111111 twice; the receipt shows 411111111111111X for both.", [("card", "411111111111111X")]),
+        ("Server 10.20.30.40 went down at noon, backups named 10-20-30-40 are safe.", [("ip", "10-20-30-40")]),
+        ("The order 2669109448945251 of 2024-01-02 has 12 parts, v1.2.3, for $20.10 at 10:30, see page 345.", []),
+        ("Nothing here but words and words, 7 of them.", []),
+    ],
+)
+def test_field_carries_labels_to_loose_mentions(text, want):
+    assert _added(text) == want
+
+
+def test_far_mention_is_one_hop_from_the_first():
+    text = "Call +1 (826) 555-4081 today. " + "word " * 50 + " ".join(f"item {i} 555-4081 and so on" for i in range(60))
+    assert len(_added(text)) == 60
+
+
+def test_marginals_against_enumeration():
+    w, chain, skip = pii.fitted()
+    text = b"mail a.b@c.org or 5554081 and 555-4081 then 12 of 2024-01-02"
+    graph = pii.Graph()
+    graph.add(0, text, pii.base_spans(text))
+    n = len(graph.features)
+    assert 4 <= n <= 7 and graph.skip
+    unary = np.array([w[f].sum(axis=0) for f in graph.features])
+    total = np.zeros((n, len(pii.LABELS)))
+    for labels in itertools.product(range(len(pii.LABELS)), repeat=n):
+        if any(o >= 0 and o != y for o, y in zip(graph.observed, labels, strict=True)):
+            continue
+        score = sum(unary[i, y] for i, y in enumerate(labels))
+        score += sum(chain[labels[a], labels[b]] for a, b in graph.chain) + sum(skip[labels[a], labels[b]] for a, b in graph.skip)
+        for i, y in enumerate(labels):
+            total[i, y] += np.exp(score)
+    want = total / total.sum(axis=1, keepdims=True)
+    assert np.abs(pii.marginals(graph, w, chain, skip) - want).max() < 0.01
+
+
 def _plain_secrets(t):
     out = []
     for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t, re.IGNORECASE | re.ASCII):
