@@ -4,8 +4,8 @@ Each stage takes all documents its predecessor kept; all but the last return the
 Parquet to the shared folder and the next one reads that.
 
 Cases: null or empty texts fail the quality rules; rows with a null id are judged and mixed like others and are never
-near copies; rows that repeat an id are near copies or not together; extra columns travel along and are packed away by
-the last stage; an empty table gives an empty result.
+near copies; rows that repeat an id are near copies or not together; extra columns travel along, whatever their names,
+and are packed away by the last stage; an empty table gives an empty result.
 
 The mixing stage may only return the columns of `documents`, so the packing stage deals the mixed rows again, with the
 same weights and so to the same slots and places, and packs consecutive runs of that order.
@@ -23,16 +23,25 @@ from weftgraph.llm.common import staged
 WEIGHTS: dict[str, float] | None = None
 
 
+def _carried(docs: DataFrame) -> DataFrame:
+    """docs as one column, so that no operator's name can clash with one of theirs."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"))
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the robust outlier test accept."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text", "lang", "source"))
-    good = quality.quality_rules(rows, id_col="_row").filter("kept").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(good, "_row", "left_semi").select(*docs.columns)
+    """Documents that the base rule and the robust outlier test accept; each row is judged as it travels along."""
+    stats = quality.text_statistics(_carried(docs), "_doc.doc_id", "_doc.text", "_doc.lang", "_doc.source", carry=("_doc",))
+    return _restored(quality.judge(staged(stats, "quality-stats")).filter("kept"), docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal normalised texts."""
-    return exact_dedup.exact_dedup(docs).filter("kept").select(*docs.columns)
+    rows = _carried(docs).select("_doc", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
+    return _restored(exact_dedup.exact_dedup(rows).filter("kept"), docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +53,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix: files and rows follow slot and place."""
-    mixed = mixing.mix_sources(docs, WEIGHTS)
-    return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    rows = _carried(docs).select("_doc", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"))
+    mixed = mixing.mix_sources(rows, WEIGHTS).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place")
+    return _restored(mixed, docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +71,7 @@ STAGES = [
     ("best-fit packing", pack_stage),
 ]
 
-#: SQL has neither the tokenizer nor the robust estimates; tests hold run() against a brute-force version.
+#: SQL has neither the tokenizer nor the robust estimates; tests/llm/test_whole_job.py holds run() against brute force.
 ORACLE_SQL = None
 
 
