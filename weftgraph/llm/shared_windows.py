@@ -5,8 +5,8 @@ are a run (super-k-mer) of WINDOW + windows - 1 symbols. Equal windows have equa
 in the bucket of its minimiser. Documents travel once, to chunks of about CHUNK_BYTES by a hash of id and text; all
 else travels between chunks and buckets as packed arrays, one row a (chunk, bucket), already combined per chunk:
 
-A. chunk -> bucket: (minimiser, least id in the chunk, distinct runs) for each minimiser of the chunk.
-B. bucket -> chunk: minimisers that more than one document has.
+A. chunk -> bucket: (minimiser, distinct runs, whether several documents have it) for each minimiser of the chunk.
+B. bucket -> chunk: minimisers that several chunks, or several documents of one, have.
 C. chunk -> bucket: each distinct run of those minimisers as one packed string. Runs of a minimiser that more than
    HOT_RUNS distinct (chunk, run) pairs have are sent window by window, to the buckets of the windows' digests, so that
    no bucket gathers an unbounded group.
@@ -242,26 +242,23 @@ class Exchange:
             k, d, ids = r.key[order], r.digest[order], chunk.doc_ids[r.doc[order]]
             head, distinct = _heads(k), _heads(k, d)
             n = np.diff(np.append(np.searchsorted(distinct, head), len(distinct)))
-            low = np.minimum.reduceat(ids, head)
-            several = low != np.maximum.reduceat(ids, head)
+            several = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
             k, n = k[head], (np.minimum(n, 2**15 - 1) * 2 + several).astype(np.uint16)
             for bucket, part in _by_bucket(self._bucket(k)):
-                rows.append((bucket, key[0].as_py(), pack(self._inside(k[part]), n[part], *pack_ids(low[part]))))
+                rows.append((bucket, key[0].as_py(), pack(self._inside(k[part]), n[part])))
         return _rows(rows, _ROW_SCHEMA)
 
     def b(self, key: tuple, table: pa.Table) -> pa.Table:
-        chunks, parts = [], []
+        parts = []
         for chunk, payload in _payloads(table):
-            k, n, low, rest = unpack(payload)
-            chunks.append(np.full(len(k), chunk, np.int32))
-            parts.append((k, n, unpack_ids(low, rest)))
-        chunk = np.concatenate(chunks)
-        k, n, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            k, n = unpack(payload)
+            parts.append((np.full(len(k), chunk, np.int32), k, n))
+        chunk, k, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(k, kind="stable")
-        chunk, k, n, ids = chunk[order], k[order], n[order], ids[order]
+        chunk, k, n = chunk[order], k[order], n[order]
         head = _heads(k)
         size = np.diff(np.append(head, len(k)))
-        shared = (np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)) | (np.maximum.reduceat(n & 1, head) > 0)
+        shared = (size > 1) | (n[head] & 1 > 0)
         hot = np.add.reduceat(n.astype(np.int64) >> 1, head) > HOT_RUNS
         shared, hot = np.repeat(shared, size), np.repeat(hot, size)
         chunk, k, hot = chunk[shared], k[shared], hot[shared]
