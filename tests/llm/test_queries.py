@@ -213,5 +213,8 @@ def test_pipeline(spark, docs, empty, tmp_path):
     kept = {r.doc_id for r in got}
     assert kept <= good and len(kept) > 40
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs.withColumn("extra", F.lit(1)), "").columns == [*docs.columns, "extra"]
+        clash = ("kept", "keep_id", "group_size", "text_sha256", "slot", "place", "block", "release", "deadline", "on_target", "grp", "row", "hash", "salt", "weight", "extra")
+        more = stage(spark, docs.withColumns({c: F.lit(f"my {c}") for c in clash}), "")
+        assert more.columns == [*docs.columns, *clash]
+        assert more.select(*[F.min(c) for c in clash]).first() == more.select(*[F.max(c) for c in clash]).first() == tuple(f"my {c}" for c in clash)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
