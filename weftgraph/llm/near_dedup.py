@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import as_bytes, batches, sliced, staged, with_text
+from weftgraph.llm.common import as_bytes, batches, few, sliced, staged, with_text
 from weftgraph.llm.components import components
 from weftgraph.llm.words import U64, WordTable, mix
 
@@ -185,6 +185,8 @@ def _against(asked: DataFrame, whole: DataFrame, sets: DataFrame, percent: int)
     queries = asked.groupBy("base").agg(F.count(F.lit(1)).alias("k"))
     grid = whole.groupBy(F.col("component").alias("base")).agg(F.count(F.lit(1)).alias("n")).join(queries, "base")
     grid = grid.select("base", F.expr(f"(k + {QUERY_BLOCK - 1}) div {QUERY_BLOCK}").alias("k"), F.expr(f"(n + {BASE_BLOCK - 1}) div {BASE_BLOCK}").alias("n"))
+    grid = staged(grid, "grid")
+    grid = few(grid, grid.count())  # one row a component that has open buckets
     mine, others = F.pmod(F.xxhash64("rep"), F.col("k")), F.pmod(F.xxhash64("rep"), F.col("n"))
     q = asked.join(grid, "base").select("base", "rep", mine.alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("bb"), F.lit(True).alias("query"))
     m = whole.withColumnRenamed("component", "base").join(grid, "base")
