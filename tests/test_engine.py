@@ -53,7 +53,7 @@ def test_keyword_any_and_all(spark):
 
 def test_rare_terms_and_short_rows_rank_first(spark):
     table = rows(spark, *[{"text": f"animal number {i}"} for i in range(20)], {"text": "zymurgy animal"})
-    best = lambda q: keyword.keyword_scores(ask(spark, q), table).agg(F.max("bm25")).first()[0]
+    best = lambda q: keyword.keyword_scores(ask(spark, q), keyword.RowIndex(table)).agg(F.max("bm25")).first()[0]
     assert best("zymurgy") > 1.5 * best("animal")
     table = rows(spark, {"text": "mitochondria " + " ".join(f"w{i}" for i in range(40))}, {"text": "mitochondria"})
     assert found(spark, table, "mitochondria")[0].proposition_id == "p1"

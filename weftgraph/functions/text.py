@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from weftgraph.functions.stemmer import STOP_WORDS, stem
 
 PROMPT_VERSION = "v1"
-TOKEN = "[a-z0-9]+"
+#: Words are runs of letters and digits of any script.
+TOKEN = r"[\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
 
 
 def english_lexemes(text: str | None) -> list[str]:
     """Lower-cased, stop words dropped, stemmed; duplicates and order stay."""
-    return [stem(w) for w in re.findall(TOKEN, (text or "").lower()) if w not in STOP_WORDS]
+    return [stem(w) for w in _WORD.findall((text or "").lower()) if w not in STOP_WORDS]
 
 
 def _english(texts: pd.Series) -> pd.Series:
@@ -30,6 +32,19 @@ def lexemes(text: Column, analyzer: str = "simple") -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def counted(words: Column) -> Column:
+    """(lexeme, tf) of each distinct word of an array: the runs of the sorted words, without leaving the row."""
+
+    def runs(s: Column) -> Column:
+        last = F.size(s) - 1
+        heads = F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i <= last) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        each = F.transform(F.array(heads), lambda h: F.transform(h, lambda i, k: F.struct(F.get(s, i).alias("lexeme"), (F.coalesce(F.get(h, k + 1), last + 1) - i).cast("long").alias("tf"))))
+        return F.get(each, F.lit(0))
+
+    # Arrays of one element give a name to what is used more than once.
+    return F.get(F.transform(F.array(F.array_sort(words)), runs), F.lit(0))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams: words lower-cased, two spaces before and one after each."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import trigram_similarity, trigrams
 from weftgraph.functions.vector import cosine_distance
+from weftgraph.sources.shared import few, staged
 from weftgraph.sources.store import cut
 
 SEEDS, NEIGHBOURS, NEIGHBOUR_SHARE = 20, 100, 0.5
+#: Nodes and links of a graph that one task iterates over; larger ones are joined step by step.
+ONE_TASK_ROWS = 2_000_000
 
 
 def seed_entities(fused: DataFrame, rows: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """(query_id, entity_id, best_rrf): both ends of fused rows, the best ones of each query."""
-    ends = rows.select(F.col("id").alias("prop_id"), F.explode(F.array("subject_id", "object_id")).alias("entity_id"))
-    ends = ends.filter("entity_id IS NOT NULL").join(fused.select("query_id", "prop_id", "rrf_score"), "prop_id")
+    asked = few(fused.select("query_id", F.col("prop_id").alias("id"), "rrf_score"))
+    ends = rows.select("id", "subject_id", "object_id").join(asked, "id")
+    ends = ends.select("query_id", "rrf_score", F.explode(F.array("subject_id", "object_id")).alias("entity_id")).filter("entity_id IS NOT NULL")
     best = ends.groupBy("query_id", "entity_id").agg(F.max("rrf_score").alias("best_rrf"))
     order = Window.partitionBy("query_id").orderBy(F.col("best_rrf").desc(), "entity_id")
     return best.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= seeds).drop("_n")
@@ -26,9 +34,10 @@ def neighbours(
     limit: int = NEIGHBOURS, dedupe: bool = True, session_scoped: bool = False,
 ) -> DataFrame:
     """Rows on an edge that touches a seed, not fused themselves, of the query's namespace; half the least fused score."""
+    seeds = staged(seeds, "seeds")
     ends = edges.select("proposition_id", "src_entity", "dst_entity", F.monotonically_increasing_id().alias("_edge"))
     ends = ends.select("proposition_id", "_edge", F.explode(F.array_distinct(F.array("src_entity", "dst_entity"))).alias("entity_id"))
-    touched = ends.join(seeds.select("query_id", "entity_id"), "entity_id").select("query_id", F.col("proposition_id").alias("prop_id"), "_edge").distinct()
+    touched = ends.join(few(seeds.select("query_id", "entity_id")), "entity_id").select("query_id", F.col("proposition_id").alias("prop_id"), "_edge").distinct()
     if dedupe:
         touched = touched.select("query_id", "prop_id").distinct()
     touched = touched.join(fused.select("query_id", "prop_id"), ["query_id", "prop_id"], "left_anti")
@@ -49,7 +58,7 @@ def pagerank(entities: DataFrame, edges: DataFrame, iterations: int = 20, dampin
 
     entities: id of one namespace; edges: src_entity, dst_entity, weight of all namespaces.
     """
-    nodes = cut(entities.select(F.col("id").alias("entity_id")).distinct())
+    nodes = staged(entities.select(F.col("id").alias("entity_id")).distinct(), "nodes")
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("score", F.lit(0.0))
@@ -57,7 +66,9 @@ def pagerank(entities: DataFrame, edges: DataFrame, iterations: int = 20, dampin
     total = edges.groupBy("src_entity").agg(F.sum("weight").alias("total"))
     share = edges.groupBy("src_entity", "dst_entity").agg(F.sum("weight").alias("weight")).join(total, "src_entity")
     share = share.join(nodes.withColumnRenamed("entity_id", "src_entity"), "src_entity", "left_semi")
-    share = cut(share.select("src_entity", "dst_entity", (F.col("weight") / F.col("total")).alias("share")))
+    share = staged(share.select("src_entity", "dst_entity", (F.col("weight") / F.col("total")).alias("share")), "pagerank")
+    if n + share.count() <= ONE_TASK_ROWS:
+        return _pagerank_in_one_task(nodes, share, iterations, damping)
     base = (1.0 - damping) / n
     rank = nodes.withColumn("score", F.lit(1.0 / n))
     for i in range(1, iterations + 1):
@@ -69,6 +80,26 @@ def pagerank(entities: DataFrame, edges: DataFrame, iterations: int = 20, dampin
     return rank
 
 
+def _pagerank_in_one_task(nodes: DataFrame, share: DataFrame, iterations: int, damping: float) -> DataFrame:
+    """The power iteration over a graph that one task holds."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        ids = pd.Index(rows.loc[rows["dst"].isna(), "src"])
+        edge = rows[rows["dst"].notna()]
+        src, dst, part = ids.get_indexer(edge["src"]), ids.get_indexer(edge["dst"].astype(ids.dtype)), edge["share"].to_numpy()
+        inside = dst >= 0  # what leaves the namespace is dropped
+        score = np.full(len(ids), 1.0 / len(ids))
+        for _ in range(iterations):
+            score = (1.0 - damping) / len(ids) + damping * np.bincount(dst[inside], score[src[inside]] * part[inside], len(ids))
+        yield pd.DataFrame({"entity_id": ids, "score": score})
+
+    kind = nodes.schema["entity_id"].dataType.simpleString()
+    alone = nodes.select(F.col("entity_id").alias("src"), F.lit(None).cast(kind).alias("dst"), F.lit(0.0).alias("share"))
+    every = alone.unionByName(share.select(F.col("src_entity").alias("src"), F.col("dst_entity").alias("dst"), "share"))
+    return every.repartition(1).mapInPandas(run, f"entity_id {kind}, score double")
+
+
 def link_entities(requests: DataFrame, entities: DataFrame, threshold: float = 0.85, name_threshold: float = 0.6) -> DataFrame:
     """(request_id, entity_id, how) for requests (request_id, namespace, name, type, embedding); how: exact, fuzzy or new.
 

@@ -13,6 +13,7 @@ from weftgraph.functions.vector import nearest
 from weftgraph.plans import derived as D
 from weftgraph.plans.search import SearchParameters, rank_fused, recall, search
 from weftgraph.sources import store
+from weftgraph.sources.shared import staged
 
 P = SearchParameters(as_of=D.AS_OF)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,18 +56,19 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(D.sql("SELECT query_id, lexeme, df, round(idf_val, 6) AS idf_val FROM idf", "idf"))
 def doc_freq_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _active(spark, sf_dir)
-    found = keyword.inverse_frequencies(keyword.query_lexemes(D.queries(spark, sf_dir)), keyword.postings(rows), keyword.corpus_statistics(rows))
+    terms, index = keyword.query_lexemes(D.queries(spark, sf_dir)), keyword.RowIndex(rows)
+    found = keyword.inverse_frequencies(terms, index.hits(terms.select("namespace", "lexeme")), index.statistics())
     return found.select("query_id", "lexeme", "df", F.round("idf_val", 6).alias("idf_val"))
 
 
 @query(D.sql(_RANKED.format(score="bm25", cte="kw"), "kw"))
 def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), _active(spark, sf_dir), P.k_initial), "bm25")
+    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), keyword.RowIndex(_active(spark, sf_dir)), P.k_initial), "bm25")
 
 
 @query(D.sql(_RANKED.format(score="bm25", cte="kw_all"), "kw_all"))
 def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), _active(spark, sf_dir), P.k_initial, mode="all"), "bm25")
+    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), keyword.RowIndex(_active(spark, sf_dir)), P.k_initial, mode="all"), "bm25")
 
 
 @query()
@@ -76,7 +78,7 @@ def cover_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stemmed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), _active(spark, sf_dir), P.k_initial, analyzer="english"), "bm25")
+    return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), keyword.RowIndex(_active(spark, sf_dir), "english"), P.k_initial, analyzer="english"), "bm25")
 
 
 @query(D.sql(_RANKED.format(score="distance", cte="vec"), "vec"))
@@ -121,14 +123,14 @@ def recency_frequency_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(D.sql("SELECT query_id, entity_id, round(best::DOUBLE, 6) AS best_rrf FROM seeds", "seeds"))
 def seed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _active(spark, sf_dir)
-    s = graph.seed_entities(store.cut(rank_fused(D.queries(spark, sf_dir), rows, P)), rows)
+    s = graph.seed_entities(staged(rank_fused(D.queries(spark, sf_dir), rows, P), "fused"), rows)
     return s.select("query_id", "entity_id", F.round(F.col("best_rrf").cast("double"), 6).alias("best_rrf"))
 
 
 @query(D.sql("SELECT query_id, prop_id, round(rrf::DOUBLE, 6) AS rrf_score FROM near", "near"))
 def graph_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, q = _active(spark, sf_dir), D.queries(spark, sf_dir)
-    fused = store.cut(rank_fused(q, rows, P))
+    fused = staged(rank_fused(q, rows, P), "fused")
     n = graph.neighbours(q, fused, graph.seed_entities(fused, rows), D.edges(spark, sf_dir), rows)
     return n.select("query_id", "prop_id", F.round(F.col("rrf_score").cast("double"), 6).alias("rrf_score"))
 

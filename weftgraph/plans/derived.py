@@ -7,6 +7,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.sources.shared import spread
+
 AS_OF = datetime(2024, 3, 1, tzinfo=UTC)
 ACCESSED, ASSERTED = 1704067200, 1706745600  # 2024-01-01 and 2024-02-01 in UTC
 ASKED = [
@@ -21,7 +23,7 @@ ASKED = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name == "documents" else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +99,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "tok": (
         ("act",),
-        "SELECT id AS prop_id, namespace, session_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS words FROM act",
+        r"SELECT id AS prop_id, namespace, session_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS words FROM act",
     ),
     "post": (
         ("tok",),
@@ -114,8 +116,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "qlex": (
         ("asked",),
-        """
-  SELECT query_id, namespace, session_id AS q_session, unnest(regexp_extract_all(lower(q_text), '[a-z0-9]+')) AS lexeme
+        r"""
+  SELECT query_id, namespace, session_id AS q_session, unnest(regexp_extract_all(lower(q_text), '[\p{L}\p{N}]+')) AS lexeme
   FROM asked WHERE q_text IS NOT NULL AND q_text <> ''""",
     ),
     "idf": (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import datetime
 
@@ -11,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.schema import PARTITIONED, TABLES
+from weftgraph.sources.shared import shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="weft-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
