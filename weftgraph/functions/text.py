@@ -89,5 +89,7 @@ def turn_text(speaker: Column, text: Column) -> Column:
 
 
 def iso_timestamp(text: Column) -> Column:
-    """ISO 8601 to timestamp in UTC; unreadable text gives null."""
-    return F.try_to_timestamp(F.regexp_replace(F.trim(text), "[Zz]$", "+00:00"))
+    """ISO 8601 to timestamp; a time without a zone is in UTC, whatever the session's zone; unreadable text gives null."""
+    plain = F.regexp_replace(F.trim(text), "[Zz]$", "+00:00")
+    timed, zoned = plain.rlike(r"\d:\d\d"), plain.rlike(r"\d:\d\d.*[+-]\d\d(:?\d\d)?$")
+    return F.try_to_timestamp(F.when(zoned, plain).when(timed, F.concat(plain, F.lit("+00:00"))).otherwise(F.concat(plain, F.lit("T00:00:00+00:00"))))

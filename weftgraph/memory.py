@@ -17,7 +17,8 @@ from weftgraph.operators.graph import link_entities, pagerank
 from weftgraph.operators.rerank import Reranker, overlap_reranker
 from weftgraph.plans.search import SearchParameters, recall
 from weftgraph.schema import QUERIES
-from weftgraph.sources.store import Store, cut, new_id
+from weftgraph.sources.shared import staged
+from weftgraph.sources.store import Store, StoredIndex, cut, new_id
 
 Embedder = Callable[[list[str]], np.ndarray]
 
@@ -105,6 +106,7 @@ class Memory:
                 F.col("id").alias("chunk_id"), "session_id", "asserted_at", F.create_map(F.lit("mode"), F.lit("chunk")).alias("metadata"))
         rows = cut(self._embedded(rows, "text").withColumns(common))
         store.append("propositions", rows)
+        store.index_keywords(rows, c.parameters.analyzer)
         edges = rows.filter("object_id IS NOT NULL").select(F.col("subject_id").alias("src_entity"), F.col("object_id").alias("dst_entity"), F.col("predicate").alias("relation"), F.lit(1.0).alias("weight"), F.col("id").alias("proposition_id"))
         store.append("edges", edges, ("src_entity", "dst_entity", "relation", "proposition_id"))
         return IngestResult(texts.count(), pieces.count(), rows.count(), touched)
@@ -115,8 +117,9 @@ class Memory:
         p = replace(c.parameters, k_retrieve=k_retrieve, k_initial=2 * k_retrieve, expand_graph=expand_graph, as_of=c.parameters.as_of or now)
         asked = self._embedded(queries.withColumn("namespace", F.lit(c.namespace)), "q_text").withColumnRenamed("embedding", "q_embedding")
         asked = cut(asked.select(*QUERIES.names))
-        rows = cut(self.store.active(c.namespace))
-        found = cut(recall(asked, rows, self.store.read("edges"), k=k, parameters=p, with_rerank=with_rerank, with_mmr=with_mmr, mmr_lambda=mmr_lambda, reranker=self.reranker))
+        rows, index = self.store.active(c.namespace), StoredIndex(self.store, c.namespace, p.analyzer)
+        found = recall(asked, rows, self.store.read("edges"), k=k, parameters=p, with_rerank=with_rerank, with_mmr=with_mmr, mmr_lambda=mmr_lambda, reranker=self.reranker, index=index)
+        found = staged(found, "recalled")
         if bump:
             self.store.bump_access(found, now)
         return found

@@ -2,65 +2,142 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import os
+import urllib.request
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import iso_timestamp
 
-_TURN = "struct<speaker:string,role:string,text:string,content:string,timestamp:string,date:string,time:string>"
-_QA = "struct<question:string,q:string,answer:string,a:string,category:string,type:string>"
-_DIALOGUE = f"struct<sessions:array<array<{_TURN}>>,conversation:array<array<{_TURN}>>,dialogues:array<array<{_TURN}>>,qa:array<{_QA}>,questions:array<{_QA}>,qas:array<{_QA}>>"
-_HAYSTACK = f"struct<question_id:string,question:string,answer:string,question_type:string,haystack_sessions:array<array<{_TURN}>>,haystack_session_ids:array<string>,haystack_dates:array<string>>"
+_TURNS = "namespace string, ordinal int, session_id string, turn int, speaker string, text string, stamp string, session_stamp string"
+_QUESTIONS = "question_id string, namespace string, question string, answer string, category string"
 
 
-def _first(*columns: str) -> Column:
-    """The first of the columns that is neither null nor empty."""
-    return F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in columns])
+def fetch(url: str, path: str) -> str:
+    """path, downloaded from url unless it is there already."""
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        urllib.request.urlretrieve(url, path + ".part")
+        os.replace(path + ".part", path)
+    return path
 
 
-def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(item, r): the records of a JSON file that is a list of them, or an object that holds such a list."""
+def _records(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(item, record): the records of a JSON file, as JSON, in order. The file is a list of them, an object that holds such
+    a list or object under a known name, or an object of them."""
     text = spark.read.text(path, wholetext=True)
-    whole = F.coalesce(F.get_json_object("value", "$.conversations"), F.get_json_object("value", "$.data"), F.col("value"))
-    return text.select(F.posexplode(F.from_json(whole, f"array<{schema}>")).alias("item", "r")).filter("r IS NOT NULL")
-
-
-def _turns(df: DataFrame, session: Column, stamp: Column) -> DataFrame:
-    said = df.select("namespace", "ordinal", session.alias("session_id"), stamp.alias("_stamp"), F.posexplode("turns").alias("turn", "t"))
-    own = iso_timestamp(_first("t.timestamp", "t.date", "t.time"))
-    said = said.select(
-        "namespace", "ordinal", "session_id", "turn", F.coalesce(_first("t.speaker", "t.role"), F.lit("speaker")).alias("speaker"),
-        _first("t.text", "t.content").alias("text"), F.coalesce(own, "_stamp").alias("asserted_at"),
-    )
-    return said.filter(F.length(F.trim("text")) > 0)
-
-
-def load_dialogues(spark: SparkSession, path: str, prefix: str = "locomo") -> tuple[DataFrame, DataFrame]:
-    """(turns, questions) of a file of dialogues, each with sessions of turns and questions."""
-    records = _records(spark, path, _DIALOGUE)
-    records = records.withColumn("namespace", F.concat(F.lit(f"{prefix}-"), F.col("item").cast("string")))
-    sessions = records.select("namespace", F.posexplode(F.coalesce("r.sessions", "r.conversation", "r.dialogues")).alias("ordinal", "turns"))
-    turns = _turns(sessions, F.concat(F.lit("sess-"), F.col("ordinal").cast("string")), F.lit(None).cast("timestamp"))
-    asked = records.select("namespace", F.posexplode(F.coalesce("r.qa", "r.questions", "r.qas")).alias("n", "x"))
-    questions = asked.select(
-        F.concat("namespace", F.lit("-qa-"), F.col("n").cast("string")).alias("question_id"), "namespace", _first("x.question", "x.q").alias("question"),
-        F.coalesce(_first("x.answer", "x.a"), F.lit("")).alias("answer"), F.coalesce(_first("x.category", "x.type"), F.lit("general")).alias("category"),
-    )
-    return turns, questions.filter("question IS NOT NULL")
-
-
-def load_haystacks(spark: SparkSession, path: str, prefix: str = "longmemeval") -> tuple[DataFrame, DataFrame]:
+    whole = F.coalesce(*[F.get_json_object("value", f"$.{name}") for name in ("conversations", "data", "rows")], F.trim("value"))
+    several = F.when(whole.startswith("["), F.from_json(whole, "array<string>")).otherwise(F.map_values(F.from_json(whole, "map<string,string>")))
+    found = text.select(F.posexplode(several).alias("item", "record")).filter("record LIKE '{%'")
+    return found if limit is None else found.filter(F.col("item") < limit)
+
+
+def _first(x: dict, *names: str) -> object:
+    """The first of the named values that is neither absent nor empty."""
+    return next((x[n] for n in names if x.get(n)), None)
+
+
+def _text(x: object) -> str | None:
+    return None if x is None else x if isinstance(x, str) else json.dumps(x) if isinstance(x, (dict, list)) else str(x)
+
+
+def _sessions(record: dict, *names: str) -> list:
+    """Sessions in order; an object of sessions counts by its values."""
+    found = _first(record, *names)
+    return found if isinstance(found, list) else list(found.values()) if isinstance(found, dict) else []
+
+
+def _said(session: object) -> list[dict]:
+    """Turns of a session that is a list of them or an object that holds one."""
+    if isinstance(session, dict):
+        session = _first(session, "conversation", "messages", "turns")
+    return [t for t in session if isinstance(t, dict)] if isinstance(session, list) else []
+
+
+def _turn_rows(namespace: str, sessions: list, ids: list, stamps: list, speaker: str) -> Iterator[tuple]:
+    for ordinal, session in enumerate(sessions):
+        name = ids[ordinal] if ordinal < len(ids) else f"sess-{ordinal}"
+        stamp = stamps[ordinal] if ordinal < len(stamps) else None
+        for n, t in enumerate(_said(session)):
+            said = _text(_first(t, "text", "content"))
+            if said and said.strip():
+                own = _first(t, "timestamp", "date", "time")
+                yield namespace, ordinal, str(name), n, _text(_first(t, "speaker", "role")) or speaker, said, _text(own), _text(stamp)
+
+
+def _dialogue_turns(item: int, record: dict, prefix: str) -> Iterator[tuple]:
+    sessions = _sessions(record, "sessions", "conversation", "dialogues")
+    rows = list(_turn_rows(f"{prefix}-{item}", sessions, [], [], "speaker"))
+    # A conversation without sessions is one session itself.
+    yield from rows or _turn_rows(f"{prefix}-{item}", [record.get("conversation")], [], [], "speaker")
+
+
+def _dialogue_questions(item: int, record: dict, prefix: str) -> Iterator[tuple]:
+    for n, x in enumerate(_first(record, "qa", "questions", "qas") or []):
+        if isinstance(x, dict) and (question := _text(_first(x, "question", "q"))):
+            answer, category = _text(_first(x, "answer", "a")) or "", _text(_first(x, "category", "type")) or "general"
+            yield f"{prefix}-{item}-qa-{n}", f"{prefix}-{item}", question, answer, category
+
+
+def _haystack_name(item: int, record: dict) -> str:
+    return _text(_first(record, "question_id", "id")) or str(item)
+
+
+def _haystack_turns(item: int, record: dict, prefix: str) -> Iterator[tuple]:
+    if record.get("question"):
+        sessions = _sessions(record, "haystack_sessions")
+        stamps = _first(record, "haystack_dates", "haystack_session_timestamps") or []
+        stamps = [*stamps, *[record.get("session_timestamp")] * (len(sessions) - len(stamps))]
+        yield from _turn_rows(f"{prefix}-{_haystack_name(item, record)}", sessions, record.get("haystack_session_ids") or [], stamps, "user")
+
+
+def _haystack_questions(item: int, record: dict, prefix: str) -> Iterator[tuple]:
+    if question := _text(record.get("question")):
+        name = _haystack_name(item, record)
+        yield f"{name}-q0", f"{prefix}-{name}", question, _text(record.get("answer")) or "", _text(record.get("question_type")) or "general"
+
+
+def _unfolded(records: DataFrame, rows_of: Callable[[int, dict, str], Iterator[tuple]], prefix: str, schema: str) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.int32() if f.endswith(" int") else pa.string() for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for item, record in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in rows_of(item, json.loads(record), prefix)]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return records.mapInArrow(run, schema)
+
+
+def _loaded(spark: SparkSession, path: str, prefix: str, limit: int | None, turns: Callable, questions: Callable) -> tuple[DataFrame, DataFrame]:
+    records = _records(spark, path, limit)
+    said = _unfolded(records, turns, prefix, _TURNS).withColumn("asserted_at", F.coalesce(iso_timestamp(F.col("stamp")), iso_timestamp(F.col("session_stamp"))))
+    return said.drop("stamp", "session_stamp"), _unfolded(records, questions, prefix, _QUESTIONS)
+
+
+def load_dialogues(spark: SparkSession, path: str, prefix: str = "locomo", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(turns, questions) of a file of dialogues, each with sessions of turns and questions; limit: so many dialogues."""
+    return _loaded(spark, path, prefix, limit, _dialogue_turns, _dialogue_questions)
+
+
+def load_haystacks(spark: SparkSession, path: str, prefix: str = "lme", limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(turns, questions) of a file of questions, each with its own sessions and parallel lists of their ids and dates."""
-    records = _records(spark, path, _HAYSTACK)
-    records = records.withColumn("namespace", F.concat(F.lit(f"{prefix}-"), F.coalesce("r.question_id", F.col("item").cast("string"))))
-    sessions = records.select("namespace", F.posexplode(F.col("r.haystack_sessions")).alias("ordinal", "turns"), "r")
-    ids = F.coalesce(F.get("r.haystack_session_ids", F.col("ordinal")), F.concat(F.lit("sess-"), F.col("ordinal").cast("string")))
-    turns = _turns(sessions, ids, iso_timestamp(F.get("r.haystack_dates", F.col("ordinal"))))
-    questions = records.select(
-        F.coalesce("r.question_id", F.col("item").cast("string")).alias("question_id"), "namespace", F.col("r.question").alias("question"),
-        F.coalesce("r.answer", F.lit("")).alias("answer"), F.coalesce("r.question_type", F.lit("general")).alias("category"),
-    )
-    return turns, questions.filter("question IS NOT NULL AND question != ''")
+    return _loaded(spark, path, prefix, limit, _haystack_turns, _haystack_questions)
+
+
+def transcripts(turns: DataFrame) -> DataFrame:
+    """(namespace, session_id, turns, text, asserted_at): what was said in each session, one line a turn, in order; the
+    time is the first one that is known. turns: namespace, ordinal, session_id, turn, speaker, text, asserted_at."""
+    line = F.concat("speaker", F.lit(": "), "text")
+    said = turns.filter(F.length(F.trim("text")) > 0).groupBy("namespace", "ordinal", "session_id")
+    said = said.agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("line"), "asserted_at"))).alias("t"))
+    times = F.filter(F.transform("t", lambda x: x["asserted_at"]), lambda x: x.isNotNull())
+    return said.select("namespace", "session_id", F.size("t").alias("turns"), F.array_join("t.line", "\n").alias("text"), F.get(times, F.lit(0)).alias("asserted_at"))
 
 
 def write_records(df: DataFrame, path: str) -> None:

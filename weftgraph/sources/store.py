@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from datetime import datetime
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.operators.keyword import postings, row_words, statistics
 from weftgraph.schema import PARTITIONED, TABLES
-from weftgraph.sources.shared import shared_dir
+from weftgraph.sources.shared import few, shared_dir, staged
+
+KEYWORD_BUCKETS = 64
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,25 +51,67 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def migrate(self) -> None:
-        """Create missing tables, empty; existing ones stay."""
+    def migrate(self) -> list[str]:
+        """Finish an interrupted swap, then apply the migrations that the log does not name yet, in order."""
+        self._finish_swap()
+        done = {r.name for r in self.read("migrations").collect()}
+        steps = {"001_tables": self._create_tables, "002_keyword_index": self._index_keywords}
+        new = [name for name in sorted(steps) if name not in done]
+        for name in new:
+            steps[name]()
+            self._write("migrations", self.spark.createDataFrame([(name, datetime.now(UTC))], TABLES["migrations"]))
+        return new
+
+    def _create_tables(self) -> None:
         for name in TABLES:
             if not self._exists(name):
                 self._write(name, self.spark.createDataFrame([], TABLES[name]))
 
+    def _index_keywords(self) -> None:
+        """Postings of rows that were written before there were any."""
+        have = self.read("lengths").select(F.col("prop_id").alias("id"))
+        self.index_keywords(self.read("propositions").join(have, "id", "left_anti"))
+
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def _exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        files, at = self._fs(self._path(name))
+        return files.exists(at)
 
-    def _write(self, name: str, df: DataFrame, mode: str = "append") -> None:
+    def _write(self, name: str, df: DataFrame, mode: str = "append", path: str | None = None) -> None:
         writer = df.write.mode(mode)
         if name in PARTITIONED:
-            writer = writer.partitionBy(PARTITIONED[name])
-        writer.parquet(self._path(name))
+            writer = writer.partitionBy(*PARTITIONED[name])
+        writer.parquet(path or self._path(name))
+
+    def _swap(self, tables: dict[str, DataFrame]) -> None:
+        """Replace tables together: all are written aside, then a journal names them, then they are moved. What fails
+        before the journal leaves the old tables, what fails after it is finished by the next migrate."""
+        aside = {name: f"{self.root}/_aside-{name}-{uuid.uuid4().hex}" for name in tables}
+        for name, df in tables.items():
+            self._write(name, df.select(*TABLES[name].names), path=aside[name])
+        lines = [(f"{name}\t{path}",) for name, path in aside.items()]
+        self.spark.createDataFrame(lines, "value string").coalesce(1).write.text(f"{self.root}/_swap")
+        self._finish_swap()
+
+    def _finish_swap(self) -> None:
+        journal = f"{self.root}/_swap"
+        files, at = self._fs(journal)
+        if not files.exists(at):
+            return
+        if files.exists(self._fs(f"{journal}/_SUCCESS")[1]):
+            for row in self.spark.read.text(journal).collect():
+                name, path = row.value.split("\t")
+                new, old = self._fs(path)[1], self._fs(self._path(name))[1]
+                if files.exists(new):
+                    files.delete(old, True)
+                    files.rename(new, old)
+        files.delete(at, True)
 
     def read(self, name: str, namespace: str | None = None) -> DataFrame:
         schema = TABLES[name]
@@ -96,6 +141,22 @@ class Store:
     def active(self, namespace: str | None = None) -> DataFrame:
         return active(self.propositions(namespace))
 
+    def superseded(self) -> DataFrame:
+        """prop_id of rows that are not active any more."""
+        gone = self.read("supersede_events").select(F.col("proposition_id").alias("prop_id"))
+        return gone.union(self.read("propositions").filter("superseded_by IS NOT NULL").select("id")).distinct()
+
+    def index_keywords(self, rows: DataFrame, analyzer: str = "english") -> None:
+        """Write the postings and lengths of rows, by namespace and hash of the lexeme."""
+        found = postings(rows, analyzer).withColumn("analyzer", F.lit(analyzer)).withColumn("bucket", keyword_bucket())
+        self.append("postings", found)
+        sizes = row_words(rows, analyzer).select("namespace", F.lit(analyzer).alias("analyzer"), "prop_id", F.size(F.array_distinct("words")).alias("dl"))
+        self.append("lengths", sizes)
+
+    def health(self) -> dict[str, int]:
+        """Rows of each table."""
+        return {name: self.read(name).count() for name in TABLES}
+
     def bump_access(self, ids: DataFrame, ts: datetime) -> None:
         """Count one access of each id (column proposition_id), however often it is given."""
         self.append("access_events", ids.select("proposition_id").distinct().withColumn("ts", F.lit(ts)))
@@ -122,30 +183,63 @@ class Store:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace").parquet(self._path("entity_pagerank"))
 
     def compact(self) -> None:
-        """Write propositions with all events folded in and empty the event logs."""
-        folded = cut(self.propositions())
-        self._write("propositions", folded, "overwrite")
-        for name in ("access_events", "supersede_events"):
-            self._write(name, self.spark.createDataFrame([], TABLES[name]), "overwrite")
+        """Write propositions with all events folded in and empty the event logs, all at once."""
+        empty = {name: self.spark.createDataFrame([], TABLES[name]) for name in ("access_events", "supersede_events")}
+        self._swap({"propositions": self.propositions(), **empty})
 
     def delete_documents(self, ids: DataFrame) -> None:
-        """Remove documents (column id) with their chunks, propositions and edges."""
-        documents, chunks = self.read("documents"), self.read("chunks")
-        gone_chunks = chunks.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
-        rows = self.read("propositions")
-        gone_rows = rows.join(gone_chunks, "chunk_id", "left_semi").select(F.col("id").alias("proposition_id"))
-        left = {
+        """Remove documents (column id) with their chunks, propositions, postings and edges, all at once."""
+        documents, chunks, rows = self.read("documents"), self.read("chunks"), self.read("propositions")
+        asked = ids.select(F.col("id").alias("document_id"))
+        gone_chunks = chunks.join(asked, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
+        gone_rows = staged(rows.join(gone_chunks, "chunk_id", "left_semi").select(F.col("id").alias("proposition_id")), "gone")
+        by_row = gone_rows.select(F.col("proposition_id").alias("prop_id"))
+        self._swap({
             "edges": self.read("edges").join(gone_rows, "proposition_id", "left_anti"),
+            "postings": self.read("postings").join(by_row, "prop_id", "left_anti"),
+            "lengths": self.read("lengths").join(by_row, "prop_id", "left_anti"),
             "propositions": rows.join(gone_chunks, "chunk_id", "left_anti"),
-            "chunks": chunks.join(ids.select(F.col("id").alias("document_id")), "document_id", "left_anti"),
+            "chunks": chunks.join(asked, "document_id", "left_anti"),
             "documents": documents.join(ids.select("id"), "id", "left_anti"),
-        }
-        for name, df in {k: cut(v.select(*TABLES[k].names)) for k, v in left.items()}.items():
-            self._write(name, df, "overwrite")
+        })
+
+    def delete_entities(self, ids: DataFrame) -> None:
+        """Remove entities (column id) with their edges and scores; propositions lose the end."""
+        gone = ids.select("id").distinct()
+        rows, edges = self.read("propositions"), self.read("edges")
+        for end in ("subject_id", "object_id"):
+            rows = rows.join(gone.select(F.col("id").alias(end), F.lit(True).alias("_gone")), end, "left").withColumn(end, F.when(F.col("_gone").isNull(), F.col(end))).drop("_gone")
+        for end in ("src_entity", "dst_entity"):
+            edges = edges.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+        scores = self.read("entity_pagerank").join(gone.select(F.col("id").alias("entity_id")), "entity_id", "left_anti")
+        self._swap({"propositions": rows, "edges": edges, "entity_pagerank": scores, "entities": self.read("entities").join(gone, "id", "left_anti")})
 
     def wipe(self) -> None:
-        for name, schema in TABLES.items():
-            self._write(name, self.spark.createDataFrame([], schema), "overwrite")
+        """Empty all tables but the log of migrations."""
+        self._swap({name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items() if name != "migrations"})
+
+
+def keyword_bucket() -> Column:
+    return F.pmod(F.xxhash64("lexeme"), F.lit(KEYWORD_BUCKETS)).cast("int")
+
+
+class StoredIndex:
+    """Keyword index of a namespace from written postings: a query reads the buckets of its lexemes."""
+
+    def __init__(self, store: Store, namespace: str, analyzer: str = "english"):
+        self.store, self.namespace, self.analyzer = store, namespace, analyzer
+
+    def _active(self, name: str) -> DataFrame:
+        rows = self.store.read(name, self.namespace).filter(F.col("analyzer") == self.analyzer)
+        return rows.join(self.store.superseded(), "prop_id", "left_anti")
+
+    def hits(self, terms: DataFrame) -> DataFrame:
+        asked = few(staged(terms.select("namespace", "lexeme", keyword_bucket().alias("bucket")).distinct(), "keyword-asked"))
+        found = self._active("postings").join(asked, ["namespace", "bucket", "lexeme"])
+        return staged(found.select("namespace", "prop_id", "session_id", "lexeme", "tf", "dl"), "keyword-hits")
+
+    def statistics(self) -> DataFrame:
+        return statistics(self._active("lengths"))
 
 
 def new_id() -> str:
