@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+GAIN_DIGITS = 9
 Reranker = Callable[[str, list[str]], list[float]]
 
 
@@ -43,13 +44,13 @@ def mmr(query: np.ndarray, docs: np.ndarray, k: int, lam: float = 0.5) -> list[i
         return []
     unit = docs / (np.linalg.norm(docs, axis=1, keepdims=True) + 1e-10)
     relevance = unit @ (query / (np.linalg.norm(query) + 1e-10))
-    picks = [int(np.argmax(relevance))]
+    picks = [int(np.argmax(np.round(relevance, GAIN_DIGITS)))]  # rounded, so that ties go to the earlier candidate
     redundancy = unit @ unit[picks[0]]
     free = np.ones(len(docs), bool)
     free[picks[0]] = False
     while len(picks) < min(k, len(docs)):
         gain = np.where(free, lam * relevance - (1 - lam) * redundancy, -np.inf)
-        best = int(np.argmax(gain))
+        best = int(np.argmax(np.round(gain, GAIN_DIGITS)))
         picks.append(best)
         free[best] = False
         redundancy = np.maximum(redundancy, unit @ unit[best])

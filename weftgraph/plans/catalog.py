@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators import evaluate, fusion, graph, ingest, keyword, scoring
-from weftgraph.functions.vector import nearest
+from weftgraph.functions.vector import hashing_embedder, nearest
+from weftgraph.memory import Memory, MemoryConfig
 from weftgraph.plans import derived as D
 from weftgraph.plans.search import SearchParameters, rank_fused, recall, search
-from weftgraph.sources import store
-from weftgraph.sources.shared import staged
+from weftgraph.schema import TABLES
+from weftgraph.sources import datasets, store
+from weftgraph.sources.shared import shared_dir, staged
 
 P = SearchParameters(as_of=D.AS_OF)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +32,13 @@ def query(oracle: str | None = None):
     return register
 
 
+def _store(spark: SparkSession) -> store.Store:
+    """A new, empty store in the shared folder."""
+    kb = store.Store(spark, f"{shared_dir(spark)}/weft/kb-{store.new_id()}")
+    kb.migrate()
+    return kb
+
+
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.active(D.propositions(spark, sf_dir))
 
@@ -71,7 +80,7 @@ def bm25_and_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(keyword.keyword_search(D.queries(spark, sf_dir), keyword.RowIndex(_active(spark, sf_dir)), P.k_initial, mode="all"), "bm25")
 
 
-@query()
+@query(D.sql(_RANKED.format(score="density", cte="cover"), "cover"))
 def cover_density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(keyword.cover_density_search(D.queries(spark, sf_dir), _active(spark, sf_dir), P.k_initial), "density")
 
@@ -153,13 +162,16 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+_KIND = "CASE WHEN in_kw AND in_vec THEN 'both' WHEN in_kw THEN 'kw' WHEN in_vec THEN 'vec' ELSE 'graph' END AS source_kind"
+
+
+@query(D.sql(f", {D.diverse('reranked', 20, 0.5)} SELECT query_id, CAST(pick AS INTEGER) AS pick, prop_id AS proposition_id, round(score, 6) AS score, {_KIND} FROM picked JOIN reranked USING (query_id, place)", "reranked", "act", "asked"))
 def recall_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = recall(D.queries(spark, sf_dir), _active(spark, sf_dir), D.edges(spark, sf_dir), k=20, parameters=P)
     return r.select("query_id", "pick", "proposition_id", F.round("score", 6).alias("score"), "source_kind")
 
 
-@query()
+@query(D.sql(f", {D.diverse('by_score', 10, 0.3)} SELECT query_id, CAST(pick AS INTEGER) AS pick, prop_id AS proposition_id FROM picked JOIN by_score USING (query_id, place)", "by_score", "act", "asked"))
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = recall(D.queries(spark, sf_dir), _active(spark, sf_dir), D.edges(spark, sf_dir), k=10, parameters=P, with_rerank=False, mmr_lambda=0.3)
     return r.select("query_id", "pick", "proposition_id")
@@ -268,9 +280,13 @@ def offline_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, length(text) AS chars, 'chunk' AS mode, CAST(NULL AS VARCHAR) AS subject_id, CAST(NULL AS VARCHAR) AS predicate FROM pieces")
 def chunks_mode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _pieces(spark, sf_dir).withColumn("metadata", F.create_map(F.lit("mode"), F.lit("chunk")))
-    none = F.lit(None).cast("string")
-    return rows.select("document_id", "ordinal", F.char_length("text").cast("long").alias("chars"), F.col("metadata")["mode"].alias("mode"), none.alias("subject_id"), none.alias("predicate"))
+    memory = Memory(_store(spark), MemoryConfig(extract_propositions=False), embedder=hashing_embedder(8))
+    d = D.table(spark, sf_dir, "documents")
+    none = F.lit(None)
+    memory.ingest_many(d.select(F.col("doc_id").cast("string").alias("id"), "text", "source", none.cast("string").alias("session_id"), none.cast("timestamp").alias("asserted_at")))
+    c = memory.store.read("chunks").select(F.col("id").alias("chunk_id"), "document_id", F.expr("span_start div 1200").cast("int").alias("ordinal"))
+    rows = memory.store.propositions("default").join(c, "chunk_id")
+    return rows.select("document_id", "ordinal", F.char_length("text").cast("long").alias("chars"), F.col("metadata")["mode"].alias("mode"), "subject_id", "predicate")
 
 
 @query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, sha256(text || chr(159) || 'm1' || chr(159) || 'v1') AS cache_key, sha256(text) AS chunk_hash FROM pieces")
@@ -284,9 +300,12 @@ c AS (SELECT DISTINCT cache_key FROM k WHERE lang IN ('en', 'fr'))
 SELECT lang, count(*) AS asked, count(c.cache_key) AS hits FROM k LEFT JOIN c USING (cache_key) GROUP BY lang"""
 )
 def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keyed = D.table(spark, sf_dir, "documents").select("lang", T.cache_key(F.col("text"), "m1").alias("cache_key"))
-    have = keyed.filter(F.col("lang").isin("en", "fr")).select(F.col("cache_key")).distinct().withColumn("hit", F.lit(1))
-    return keyed.join(have, "cache_key", "left").groupBy("lang").agg(F.count(F.lit(1)).alias("asked"), F.count("hit").alias("hits"))
+    keyed = D.table(spark, sf_dir, "documents").select("lang", T.cache_key(F.col("text"), "m1").alias("cache_key"), T.chunk_hash(F.col("text")).alias("chunk_hash"))
+    kb = _store(spark)
+    none = F.array().cast(TABLES["proposition_cache"]["propositions"].dataType)
+    known = {"extractor_model": F.lit("m1"), "prompt_version": F.lit("v1"), "propositions": none, "created_at": F.lit(D.AS_OF)}
+    kb.append("proposition_cache", keyed.filter(F.col("lang").isin("en", "fr")).withColumns(known), ("cache_key",))
+    return kb.cached(keyed).groupBy("lang").agg(F.count(F.lit(1)).alias("asked"), F.count("propositions").alias("hits"))
 
 
 @query(
@@ -357,6 +376,7 @@ def eval_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM conversations WHERE length(trim(text)) > 0 GROUP BY conv_id"""
 )
 def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = D.table(spark, sf_dir, "conversations").filter(F.length(F.trim("text")) > 0)
-    turns = said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", T.turn_text(F.col("role"), F.col("text")).alias("said")))).alias("t"))
-    return turns.select("conv_id", F.size("t").cast("long").alias("turns"), F.sha2(F.array_join("t.said", "\n"), 256).alias("transcript_sha256"))
+    said = D.table(spark, sf_dir, "conversations")
+    turns = said.select(F.lit("c").alias("namespace"), F.col("conv_id").alias("ordinal"), F.col("conv_id").alias("session_id"), "turn", F.col("role").alias("speaker"), "text", F.lit(None).cast("timestamp").alias("asserted_at"))
+    found = datasets.transcripts(turns)
+    return found.select(F.col("session_id").alias("conv_id"), F.col("turns").cast("long").alias("turns"), F.sha2("text", 256).alias("transcript_sha256"))

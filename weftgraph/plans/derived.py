@@ -200,6 +200,83 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+CTES |= {
+    "covers": (
+        ("tok", "qlex"),
+        """
+  SELECT query_id, prop_id, sum(0.1::DOUBLE / (1 + (e.pos - b.pos) - (e.nth - b.nth))) AS density
+  FROM (
+    WITH t AS (SELECT DISTINCT query_id, namespace, q_session, lexeme FROM qlex),
+    n AS (SELECT query_id, count(*) AS n FROM t GROUP BY ALL),
+    w AS (SELECT prop_id, namespace, session_id, unnest(words) AS lexeme, generate_subscripts(words, 1) AS pos FROM tok),
+    o AS (
+      SELECT query_id, prop_id, pos, w.lexeme, row_number() OVER (PARTITION BY query_id, prop_id ORDER BY pos) AS nth
+      FROM w JOIN t ON t.namespace = w.namespace AND t.lexeme = w.lexeme AND (q_session IS NULL OR session_id = q_session OR session_id IS NULL)),
+    l AS (
+      SELECT o.query_id, prop_id, pos, nth, max(CASE WHEN o.lexeme = t.lexeme THEN nth END) OVER (PARTITION BY o.query_id, prop_id, t.lexeme ORDER BY nth) AS last
+      FROM o JOIN t ON t.query_id = o.query_id),
+    f AS (SELECT query_id, prop_id, pos, nth, min(last) AS first FROM l JOIN n USING (query_id) GROUP BY query_id, prop_id, pos, nth, n HAVING count(last) = n),
+    c AS (SELECT query_id, prop_id, first, min(nth) AS nth FROM f GROUP BY ALL)
+    SELECT c.query_id, c.prop_id, x AS e, y AS b FROM c
+    JOIN (SELECT query_id, prop_id, nth, o AS x FROM o) ox ON ox.query_id = c.query_id AND ox.prop_id = c.prop_id AND ox.nth = c.nth
+    JOIN (SELECT query_id, prop_id, nth, o AS y FROM o) oy ON oy.query_id = c.query_id AND oy.prop_id = c.prop_id AND oy.nth = c.first)
+  GROUP BY query_id, prop_id""",
+    ),
+    "cover": (
+        ("covers",),
+        """
+  SELECT query_id, prop_id, round(density, 9) AS density, row_number() OVER (PARTITION BY query_id ORDER BY round(density, 9) DESC, prop_id) AS rank
+  FROM covers QUALIFY rank <= 200""",
+    ),
+    "found": (
+        ("scored",),
+        """
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, prop_id) AS rank FROM scored QUALIFY rank <= 100""",
+    ),
+    "reranked": (
+        ("found", "asked"),
+        r"""
+  SELECT query_id, prop_id, in_kw, in_vec, blended AS score, row_number() OVER (PARTITION BY query_id ORDER BY blended DESC, rank) AS place
+  FROM (
+    SELECT *, round(0.7::DOUBLE * CASE WHEN max(r) OVER q - min(r) OVER q < 1e-10 THEN 1.0 ELSE (r - min(r) OVER q) / (max(r) OVER q - min(r) OVER q) END
+      + (1 - 0.7::DOUBLE) * CASE WHEN max(a) OVER q - min(a) OVER q < 1e-10 THEN 1.0 ELSE (a - min(a) OVER q) / (max(a) OVER q - min(a) OVER q) END, 9) AS blended
+    FROM (
+      SELECT *, adjusted::DOUBLE AS a, CASE WHEN len(terms) > 0 THEN len(list_intersect(terms, list_distinct(words)))::DOUBLE / len(terms) ELSE 0.0::DOUBLE END
+        + 0.01::DOUBLE / (1 + coalesce(list_position(list_transform(words, lambda w: list_contains(terms, w)), true) - 1, len(words))) AS r
+      FROM (
+        SELECT f.*, regexp_extract_all(lower(coalesce(f.text, '')), '[\p{L}\p{N}_]+') AS words,
+               list_distinct(regexp_extract_all(lower(coalesce(q_text, '')), '[\p{L}\p{N}_]+')) AS terms
+        FROM found f JOIN asked USING (query_id) WHERE rank <= 64))
+    WINDOW q AS (PARTITION BY query_id))""",
+    ),
+    "by_score": (("found",), "SELECT query_id, prop_id, in_kw, in_vec, adjusted::DOUBLE AS score, rank AS place FROM found"),
+}
+
+
+def diverse(candidates: str, k: int, lam: float) -> str:
+    """Common table expressions that end in `picked` (query_id, pick, place): maximal marginal relevance, a pick a step."""
+    dot = lambda a, b: f"list_inner_product({a}, {b})"
+    unit = lambda x: f"list_transform({x}, lambda v: v / (sqrt({dot(x, x)}) + 1e-10))"
+    gain = f"CASE WHEN list_contains(m.picks, i) THEN -1e9 ELSE round({lam}::DOUBLE * r - (1 - {lam}::DOUBLE) * m.red[i], 9) END"
+    return f"""vectors AS MATERIALIZED (
+  SELECT query_id, place, {unit("e")} AS u, {unit("q")} AS qu FROM (
+    SELECT c.query_id, place, CAST(coalesce(p.embedding, a.q_embedding) AS DOUBLE[]) AS e, CAST(a.q_embedding AS DOUBLE[]) AS q
+    FROM {candidates} c JOIN act p ON p.id = c.prop_id JOIN asked a ON a.query_id = c.query_id)),
+grouped AS MATERIALIZED (
+  SELECT query_id, list(u ORDER BY place) AS u, list({dot("u", "qu")} ORDER BY place) AS rel FROM vectors
+  WHERE qu IS NOT NULL GROUP BY query_id HAVING count(*) > {k}),
+m AS (
+  SELECT query_id, [p] AS picks, list_transform(u, lambda x: {dot("x", "u[p]")}) AS red, u, rel
+  FROM (SELECT *, list_position(list_transform(rel, lambda r: round(r, 9)), list_max(list_transform(rel, lambda r: round(r, 9)))) AS p FROM grouped)
+  UNION ALL
+  SELECT query_id, list_append(picks, p), list_transform(red, lambda r, i: greatest(r, {dot("u[i]", "u[p]")})), u, rel
+  FROM (SELECT m.*, list_position(list_transform(rel, lambda r, i: {gain}), list_max(list_transform(rel, lambda r, i: {gain}))) AS p FROM m WHERE len(picks) < {k})),
+picked AS (
+  SELECT query_id, unnest(picks) AS place, generate_subscripts(picks, 1) AS pick FROM m WHERE len(picks) = {k}
+  UNION ALL
+  SELECT query_id, place, place AS pick FROM {candidates} WHERE place <= {k} AND query_id NOT IN (SELECT query_id FROM grouped))"""
+
+
 def sql(select: str, *needed: str) -> str:
     """select after the common table expressions it needs, each once, in order."""
     order: list[str] = []
@@ -212,4 +289,4 @@ def sql(select: str, *needed: str) -> str:
 
     for n in needed:
         add(n)
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + "\n" + select

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.vector import nearest
 from weftgraph.operators.fusion import RRF_K, fuse, source_kind
 from weftgraph.operators.graph import neighbours, seed_entities
-from weftgraph.operators.keyword import KeywordIndex, RowIndex, cover_density_search, keyword_search
+from weftgraph.operators.keyword import SCORE_DIGITS, KeywordIndex, RowIndex, cover_density_search, keyword_search
 from weftgraph.operators.rerank import Reranker, overlap_reranker, rerank, select_diverse
 from weftgraph.operators.scoring import RERANK_CAP, adjusted_score, blend
 from weftgraph.sources.shared import few, staged
@@ -80,7 +80,7 @@ def recall(
     found = staged(search(queries, rows, edges, p, index), "found")
     if with_rerank:
         some = found.filter(F.col("rank") <= min(p.k_retrieve, RERANK_CAP)).join(queries.select("query_id", "q_text"), "query_id")
-        scored = blend(rerank(some, reranker)).withColumn("score", F.col("blended"))
+        scored = blend(rerank(some, reranker)).withColumn("blended", F.round("blended", SCORE_DIGITS)).withColumn("score", F.col("blended"))
         order = Window.partitionBy("query_id").orderBy(F.col("blended").desc(), "rank")
         placed = scored.withColumn("place", F.row_number().over(order))
     else:
