@@ -149,3 +149,24 @@ def test_memory_round_trip(spark, tmp_path):
     assert offline.ingest("one fact").entities == 1
     offline.recompute_pagerank(iterations=2)
     assert offline.store.read("entity_pagerank", "n2").count() == 1
+
+
+def test_names_meet_on_rare_trigrams(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randint(3, 7)))
+    names = [f"company {word()}" for _ in range(150)]
+    kind = "id string, namespace string, name string, type string, embedding array<float>"
+    known = spark.createDataFrame([(f"e{i:03}", "ns", n, None, hot(0)) for i, n in enumerate(names)], kind)
+    asked = [(f"r{i:02}", "ns", n[:-1] + rng.choice("abx"), None, hot(0)) for i, n in enumerate(names[:40])]
+    got = {r.request_id: r for r in graph.link_entities(spark.createDataFrame(asked, kind.replace("id ", "request_id ", 1)), known, 0.5).collect()}
+
+    def grams(name):
+        return {f"  {w} "[i : i + 3] for w in name.split() for i in range(len(w) + 1)}
+
+    for rid, _, name, *_ in asked:
+        exact = [f"e{i:03}" for i, n in enumerate(names) if n == name]
+        close = [f"e{i:03}" for i, n in enumerate(names) if len(grams(n) & grams(name)) > 0.6 * len(grams(n) | grams(name))]
+        want = (min(exact), "exact") if exact else (min(close), "fuzzy") if close else (None, "new")
+        assert (got[rid].entity_id if want[0] else None, got[rid].how) == want

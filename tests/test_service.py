@@ -186,3 +186,22 @@ def test_streaming_ingest(spark, tmp_path):
         turns = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
         streaming.start(turns, memory, f"{tmp_path}/check").awaitTermination()
     assert memory.store.read("documents").count() == 1 and [r.text for r in memory.recall("rivers")] == ["rivers flow"]
+
+
+def test_cell_index_recall(spark, tmp_path):
+    import numpy as np
+
+    from weftgraph.functions.vector import CellIndex, nearest
+
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 16))
+    points = (centers[rng.integers(0, 40, 3000)] + 0.4 * rng.normal(size=(3000, 16))).tolist()
+    table = spark.createDataFrame([(f"p{i}", "ns", "A" if i % 3 == 0 else None, p) for i, p in enumerate(points)] + [("none", "ns", None, None)], "id string, namespace string, session_id string, embedding array<float>")
+    q = spark.createDataFrame([(f"q{i}", None, points[i * 50], "ns", "B" if i % 2 else None) for i in range(20)], "query_id string, q_text string, q_embedding array<float>, namespace string, session_id string")
+    exact = {(r.query_id, r.prop_id) for r in nearest(table, q, 10).collect()}
+    index = CellIndex.build(table, f"file://{tmp_path}/cells", cells=32)
+    assert index.rows.count() == 3000
+    found = {(r.query_id, r.prop_id) for r in index.nearest(q, 10, probes=8).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    every = index.nearest(q, 10, probes=32)
+    assert {(r.query_id, r.prop_id) for r in every.collect()} == exact

@@ -52,39 +52,49 @@ def hashing_embedder(dims: int = 1024) -> Callable[[list[str]], np.ndarray]:
     return embed
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of an Arrow list column without nulls as one matrix, straight from its buffer."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    if len(column) and len(flat) % len(column):
+        raise ValueError("vectors of different dimensions")
+    return flat.reshape(len(column), -1).astype(np.float64)
+
+
+def unit_rows(m: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def _nearest(block: list[tuple], k: int, digits: int):
     """Each batch's k nearest rows to each query of its namespace and session."""
     groups: dict[str, list[int]] = {}
     for i, q in enumerate(block):
         groups.setdefault(q[2], []).append(i)
     schema = pa.schema([("query_id", pa.string()), ("prop_id", pa.string()), ("distance", pa.float64())])
-
-    def unit(m: np.ndarray) -> np.ndarray:
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return m / size
-
-    units = {ns: unit(np.array([block[i][1] for i in rows], np.float64)) for ns, rows in groups.items()}
+    units = {ns: unit_rows(np.array([block[i][1] for i in rows], np.float64)) for ns, rows in groups.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            space = b.column("namespace").to_pylist()
+            space = np.array(b.column("namespace").to_pylist(), object)
             session = np.array(b.column("session_id").to_pylist(), object)
             ids = np.array(b.column("id").to_pylist(), object)
-            vectors = b.column("embedding").to_pylist()
+            vectors = unit_rows(matrix(b.column("embedding")))
             out: list[tuple] = []
             for ns, members in groups.items():
-                rows = np.array([i for i, x in enumerate(space) if x == ns and vectors[i] is not None], np.int64)
+                rows = np.flatnonzero(space == ns)
                 if not len(rows):
                     continue
-                distance = np.round(1 - unit(np.array([vectors[i] for i in rows], np.float64)) @ units[ns].T, digits)
+                distance = np.round(1 - vectors[rows] @ units[ns].T, digits)
+                free = np.equal(session[rows], None)
                 for j, q in enumerate(members):
                     d = distance[:, j]
                     ok = ~np.isnan(d)
                     if block[q][3] is not None:
-                        s = session[rows]
-                        ok &= (s == block[q][3]) | np.equal(s, None)
+                        ok &= free | (session[rows] == block[q][3])
                     d, mine = d[ok], ids[rows[ok]]
+                    if len(d) > k:  # ties at the edge stay in until ids decide
+                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                        d, mine = d[near], mine[near]
                     best = np.lexsort((mine.astype(str), d))[:k]
                     out += [(block[q][0], mine[i], float(d[i])) for i in best]
             if out:
@@ -112,3 +122,64 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, digits: int = 9) -> Dat
         found = near if found is None else found.unionByName(near)
     best = Window.partitionBy("query_id").orderBy("distance", "prop_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+class CellIndex:
+    """Inverted file of vectors: each row lies in the cell of its nearest centroid, and a query reads only some cells.
+
+    The centroids are fitted by k-means on at most SAMPLE_ROWS rows; every row is indexed. Distances of the rows that are
+    read are exact, so the only loss is a near row in a cell that is not probed; probing all cells is exact.
+    """
+
+    SAMPLE_ROWS, STEPS = 20_000, 10
+
+    def __init__(self, centroids: np.ndarray, rows: DataFrame):
+        self.centroids, self.rows = centroids, rows
+
+    @classmethod
+    def build(cls, rows: DataFrame, path: str, cells: int = 64, seed: int = 7) -> CellIndex:
+        """Index rows (id, namespace, session_id, embedding) with an embedding; written under path by cell."""
+        have = rows.filter("embedding IS NOT NULL").select(F.col("id").cast("string").alias("id"), "namespace", "session_id", "embedding")
+        total = have.count()
+        share = min(1.0, 1.2 * cls.SAMPLE_ROWS / max(1, total))
+        some = have.select("embedding").sample(share, seed).limit(cls.SAMPLE_ROWS).toArrow()
+        centroids = np.zeros((1, 1))
+        if some.num_rows:
+            x = np.nan_to_num(unit_rows(matrix(some.column(0).combine_chunks())))
+            centroids = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+            for _ in range(cls.STEPS):
+                at = np.argmax(x @ centroids.T, axis=1)
+                sums = np.zeros_like(centroids)
+                np.add.at(sums, at, x)
+                centroids = np.nan_to_num(unit_rows(np.where(np.bincount(at, minlength=len(centroids))[:, None] > 0, sums, centroids)))
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell = np.argmax(np.nan_to_num(unit_rows(matrix(b.column("embedding")))) @ centroids.T, axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32())], names=[*b.schema.names, "cell"])
+
+        placed = have.mapInArrow(assign, "id string, namespace string, session_id string, embedding array<float>, cell int")
+        placed.write.partitionBy("cell").parquet(path)
+        schema = "id string, namespace string, session_id string, embedding array<float>, cell int"
+        return cls(centroids, rows.sparkSession.read.schema(schema).parquet(path))
+
+    def nearest(self, queries: DataFrame, k: int, probes: int = 8, digits: int = 9) -> DataFrame:
+        """As `nearest`, over the probed cells of each query: (query_id, prop_id, distance, rank)."""
+        asked = [tuple(r) for r in queries.filter("q_embedding IS NOT NULL").select("query_id", "q_embedding", "namespace", "session_id").collect()]
+        by_cells: dict[int, list[tuple]] = {}
+        for q in asked:
+            near = np.argsort(-self.centroids @ np.nan_to_num(unit_rows(np.array([q[1]], np.float64)))[0])[:probes]
+            for cell in near.tolist():
+                by_cells.setdefault(cell, []).append(q)
+        kept = self.rows.filter(F.col("cell").isin(sorted(by_cells)))  # the other cells' files are not read
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = {cell: _nearest(block, k, digits) for cell, block in by_cells.items()}
+            for b in batches:
+                cells = b.column("cell").to_numpy()
+                for cell in np.unique(cells).tolist():
+                    yield from search[cell](iter([b.filter(pa.array(cells == cell))]))
+
+        found = kept.mapInArrow(run, "query_id string, prop_id string, distance double")
+        best = Window.partitionBy("query_id").orderBy("distance", "prop_id")
+        return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -105,7 +105,7 @@ def link_entities(requests: DataFrame, entities: DataFrame, threshold: float = 0
 
     Exact name and type first; else the nearest entity of the namespace above both thresholds, whatever its type; else a
     new entity whose id is a hash of namespace, name and type. Fuzzy candidates meet on shared trigrams: a similarity
-    over s needs a shared trigram among the rarest few of the name, so only those block. Requests are matched against
+    over s needs a shared trigram among the rarest few of both names, so only those block. Requests are matched against
     the given entities; names that are new in one batch share an id if they are equal.
     """
     asked = requests.withColumn("_type", F.coalesce("type", F.lit("\x00")))
@@ -117,14 +117,17 @@ def link_entities(requests: DataFrame, entities: DataFrame, threshold: float = 0
 
     left = rest.filter("embedding IS NOT NULL").select("request_id", "namespace", trigrams(F.col("name")).alias("a"), F.col("embedding").alias("q"))
     right = known.filter("embedding IS NOT NULL").select("namespace", F.col("id").alias("entity_id"), trigrams(F.col("name")).alias("b"), F.col("embedding").alias("e"))
-    # Similar sets share at least ceil(s * |A|) trigrams, so the first |A| - that + 1 of a common order must meet.
-    def prefix(c: str):
-        kept = F.size(c) - F.ceil(F.size(c) * F.lit(name_threshold)) + 1
-        return F.slice(F.sort_array(F.transform(c, lambda t: F.struct(F.xxhash64(t).alias("h"), t.alias("t")))), F.lit(1), F.greatest(kept, F.lit(1)).cast("int"))
-
-    heads_a = left.select("request_id", "namespace", F.explode(prefix("a")).alias("g"))
-    heads_b = right.select("entity_id", "namespace", F.explode(prefix("b")).alias("g"))
-    pairs = heads_a.join(heads_b, ["namespace", "g"]).select("request_id", "entity_id").distinct()
+    # Similar sets share at least ceil(s * |A|) trigrams, so the first |A| - that + 1 of a common order must meet; the
+    # order is by rarity among the known names, so common trigrams bring nobody together while there are rarer ones.
+    known_in = right.select("namespace", F.explode("b").alias("t")).groupBy("namespace", "t").agg(F.count(F.lit(1)).alias("names"))
+
+    def heads(rows: DataFrame, ident: str, grams: str) -> DataFrame:
+        each = rows.select(ident, "namespace", F.explode(grams).alias("t")).join(known_in, ["namespace", "t"], "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "t"))).alias("g")
+        kept = F.size("g") - F.ceil(F.size("g") * F.lit(name_threshold)).cast("int") + 1
+        return each.groupBy(ident, "namespace").agg(order).select(ident, "namespace", F.explode(F.slice("g", F.lit(1), F.greatest(kept, F.lit(1)))["t"]).alias("t"))
+
+    pairs = heads(left, "request_id", "a").join(heads(right, "entity_id", "b"), ["namespace", "t"]).select("request_id", "entity_id").distinct()
     pairs = pairs.join(left.drop("namespace"), "request_id").join(right.drop("namespace"), "entity_id")
     distance = cosine_distance(F.col("q"), F.col("e"))
     pairs = pairs.filter(trigram_similarity(F.col("a"), F.col("b")) > name_threshold).withColumn("d", F.round(distance, 9))

@@ -272,6 +272,28 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).select("document_id", "ordinal", F.sha2("text", 256).alias("text_sha256"), "span_start", "span_end")
 
 
+_PARAGRAPHS = r"""WITH RECURSIVE p AS MATERIALIZED (
+  SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+f AS (
+  SELECT doc_id, ps, 1 AS i, CAST([] AS VARCHAR[]) AS done, CAST(NULL AS VARCHAR) AS held FROM p
+  UNION ALL
+  SELECT doc_id, ps, i + 1,
+    CASE WHEN joins THEN done ELSE list_concat(done, CASE WHEN held IS NULL THEN [] ELSE [held] END, list_transform(range(cuts), lambda k: substr(para, 1 + 1100 * k, 1200))) END,
+    CASE WHEN joins THEN regexp_replace(held || chr(10) || chr(10) || para, '^\s+|\s+$', '', 'g') ELSE substr(para, 1 + 1100 * cuts) END
+  FROM (SELECT *, ps[i] AS para, held IS NOT NULL AND length(held) + length(ps[i]) < 1200 AS joins,
+               CAST(greatest(0, ceil((length(ps[i]) - 1200) / 1100.0)) AS BIGINT) AS cuts FROM f WHERE i <= len(ps))),
+c AS (SELECT p.doc_id, CASE WHEN held IS NULL THEN [substr(text, 1, 1200)] ELSE list_append(done, held) END AS parts FROM f JOIN p USING (doc_id) WHERE i > len(f.ps)),
+u AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS ordinal FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(ordinal AS INTEGER) AS ordinal, sha256(part) AS text_sha256, CAST(ordinal * 1200 + length(part) AS INTEGER) AS span_end FROM u"""
+
+
+@query(_PARAGRAPHS)
+def chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a blank line between their lines, so that paragraphs are packed, cut and joined."""
+    d = D.table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
+    return ingest.chunks(d, "doc_id", "text").select("document_id", "ordinal", F.sha2("text", 256).alias("text_sha256"), "span_end")
+
+
 @query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, 0 AS number, substr(text, 1, 120) AS p_text, '?' AS subject, 'states' AS predicate, substr(text, 1, 120) AS object, true AS object_is_literal FROM pieces")
 def offline_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted, _ = ingest.extract(_pieces(spark, sf_dir), None, "offline")
