@@ -37,12 +37,35 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+#: Tables that operators have staged and nobody has dropped.
+_STAGED: list[str] = []
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and where it lies; it stays until it is dropped."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    return spark.read.schema(df.schema).parquet(at), at
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+    table, at = written(df, label)
+    _STAGED.append(at)
+    return table
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for at in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what operators have staged so far; results that have not been written by now are lost."""
+    drop(spark, *_STAGED)
+    _STAGED.clear()
 
 
 def sliced(batch_iter: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

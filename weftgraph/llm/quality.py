@@ -90,9 +90,9 @@ def _counts(carry: tuple[str, ...]):
 def text_statistics(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, lang, source, the columns in carry as they are, and COUNTS."""
+    """doc_id, lang, source, the columns in carry (text: null as empty, others as they are) and COUNTS."""
     more = (F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    rows = with_text(df, id_col, text_col, *more, *carry)
+    rows = with_text(df, id_col, text_col, *more, *(c for c in carry if c != "text"))
     kept = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
     return rows.mapInArrow(_counts(carry), f"doc_id long, lang string, source string{kept}, " + ", ".join(f"{c} long" for c in COUNTS))
 
