@@ -30,7 +30,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -118,6 +117,14 @@ def _shrunk(count: float, value: np.ndarray, wider: np.ndarray) -> np.ndarray:
     return (count * value + PRIOR_ROWS * wider) / (count + PRIOR_ROWS)
 
 
+def _model_rows(rows: list[tuple], more: tuple[str, ...]) -> pa.RecordBatch:
+    """(grp, start, center, inverse) and further numbers."""
+    vector = pa.list_(pa.float64())
+    fields = [("grp", pa.string()), ("start", pa.int32()), ("center", vector), ("inverse", vector), *((c, pa.float64()) for c in more)]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
 def _estimates(chosen: DataFrame) -> DataFrame:
     """(grp, start, center, inverse, logdet, scale) from count and sums of the chosen rows of each group and of the groups
     above it."""
@@ -127,14 +134,14 @@ def _estimates(chosen: DataFrame) -> DataFrame:
     parent = chosen.select(F.col("grp").alias("parent"), "start", *[F.col(c).alias(f"p_{c}") for c in values])
     top = chosen.filter(F.col("grp") == ALL).select("start", *[F.col(c).alias(f"t_{c}") for c in values])
 
-    def solve(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
+    def solve(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batch_iter:
             out = []
-            for row in pdf.to_dict("records"):
+            for row in b.to_pylist():
                 center = cov = None
                 for level in ("t_", "p_", ""):
                     n = row[f"{level}n"]
-                    if n != n or n is None:
+                    if n is None:
                         continue  # all rows together have no wider group
                     mean = np.array([row[f"{level}s{i}"] for i in range(p)]) / n
                     own = np.zeros((p, p))
@@ -144,10 +151,10 @@ def _estimates(chosen: DataFrame) -> DataFrame:
                 cov = cov + np.diag(FLOOR)
                 scale = max(1.0, 2.0 ** ((row["middle"] + 0.5) / BINS_A_POWER) / NORMAL_MEDIAN)
                 out.append((row["grp"], row["start"], center.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1]), scale))
-            yield pd.DataFrame(out, columns=["grp", "start", "center", "inverse", "logdet", "scale"])
+            yield _model_rows(out, ("logdet", "scale"))
 
     every = chosen.join(parent, ["parent", "start"], "left").join(top, "start")
-    return every.mapInPandas(solve, "grp string, start int, center array<double>, inverse array<double>, logdet double, scale double")
+    return every.mapInArrow(solve, "grp string, start int, center array<double>, inverse array<double>, logdet double, scale double")
 
 
 def _starts(member: DataFrame) -> DataFrame:
@@ -160,14 +167,14 @@ def _starts(member: DataFrame) -> DataFrame:
     parent = own.select(F.col("grp").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in ("n", *values)])
     top = own.filter(F.col("grp") == ALL).select(F.lit(1).alias("one"), *[F.col(c).alias(f"t_{c}") for c in ("n", *values)])
 
-    def solve(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
+    def solve(batch_iter: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batch_iter:
             out = []
-            for row in pdf.to_dict("records"):
+            for row in b.to_pylist():
                 got = None
                 for level in ("t_", "p_", ""):
                     n = row[f"{level}n"]
-                    if n != n or n is None:
+                    if n is None:
                         continue
                     quartiles = np.array([row[f"{level}q{i}"] for i in range(p)])
                     mean = np.array([row[f"{level}m{i}"] for i in range(p)])
@@ -180,10 +187,10 @@ def _starts(member: DataFrame) -> DataFrame:
                     got = mine if got is None else [(_shrunk(n, c, wc), _shrunk(n, v, wv)) for (c, v), (wc, wv) in zip(mine, got, strict=True)]
                 for start, (center, cov) in enumerate(got):
                     out.append((row["grp"], start, center.tolist(), np.linalg.inv(cov + np.diag(FLOOR)).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["grp", "start", "center", "inverse"])
+            yield _model_rows(out, ())
 
     every = own.withColumn("one", F.lit(1)).join(parent, "parent", "left").join(top, "one")
-    return staged(every.mapInPandas(solve, "grp string, start int, center array<double>, inverse array<double>"), "quality-model")
+    return staged(every.mapInArrow(solve, "grp string, start int, center array<double>, inverse array<double>"), "quality-model")
 
 
 def _with_model(rows: DataFrame, model: DataFrame, models: int, how: str = "inner") -> DataFrame:
