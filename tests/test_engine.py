@@ -170,3 +170,30 @@ def test_names_meet_on_rare_trigrams(spark):
         close = [f"e{i:03}" for i, n in enumerate(names) if len(grams(n) & grams(name)) > 0.6 * len(grams(n) | grams(name))]
         want = (min(exact), "exact") if exact else (min(close), "fuzzy") if close else (None, "new")
         assert (got[rid].entity_id if want[0] else None, got[rid].how) == want
+
+
+def test_english_ranking_by_brute_force(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(2)
+    stems = ["run", "walk", "jump", "look", "play", "turn"]
+    text = lambda n: " ".join(rng.choice(stems) + rng.choice(["", "s", "ed", "ing"]) for _ in range(n)) + " the of"
+    texts = [text(rng.randint(1, 30)) for _ in range(60)]
+    asked = ["running jumps", "the played look", "turning", "nothing"]
+    queries = spark.createDataFrame([(f"q{i}", t, None, "ns", None) for i, t in enumerate(asked)], QUERIES)
+    table = rows(spark, *[{"text": t} for t in texts])
+    got = {(r.query_id, r.prop_id): r.bm25 for r in keyword.keyword_scores(queries, keyword.RowIndex(table, "english"), analyzer="english").collect()}
+    docs = [Counter(T.english_lexemes(t)) for t in texts]
+    average = sum(len(d) for d in docs) / len(docs)
+    want = {}
+    for i, q in enumerate(asked):
+        for n, d in enumerate(docs):
+            score = 0.0
+            for w in T.english_lexemes(q):
+                df = sum(w in x for x in docs)
+                score += math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * d[w] * 2.2 / (d[w] + 1.2 * (0.25 + 0.75 * len(d) / average))
+            if score > 0:
+                want[(f"q{i}", f"p{n}")] = score
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in want)
