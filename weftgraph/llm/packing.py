@@ -5,8 +5,8 @@ lengths. So the packing is worked out on that histogram, on the driver, in a tim
 corpus: pieces above one third of the capacity pair at most twice a sequence, the largest with the largest that fits
 beside it; smaller ones, largest first, go where the least room that is enough is left; a new sequence opens when no
 room is enough. The outcome is a table of runs (length, first rank, pieces, first sequence, pieces a sequence, offset),
-bounded by the number of lengths as well, which is broadcast; each piece finds its place by its rank among the pieces
-of its length. Ranks come from counts of (length, bucket), so a length that a third of all documents have is spread
+which is broadcast while it is short (`few`) and joined by length beyond; each piece finds its place by its rank among
+the pieces of its length. Ranks come from counts of (length, bucket), so a length that a third of all documents have is spread
 over BUCKETS tasks.
 
 ``pack_mixed`` packs within consecutive runs of the mix order instead: documents take the slot and place that
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing
-from weftgraph.llm.common import batches, sliced, staged, with_text
+from weftgraph.llm.common import batches, few, sliced, staged, with_text
 from weftgraph.llm.tokens import piece_encoder, tokenizer_path
 
 CAPACITY = 4096
@@ -147,14 +147,14 @@ def pack_documents(df: DataFrame, *, vocabulary: str | None = None, kind: str =
         before.append((n, bucket, counts[n]))
         counts[n] += c
     runs, _ = plan_sequences(counts, capacity)
-    before = spark.createDataFrame(before, "length long, _bucket long, _before long")
-    runs = spark.createDataFrame(runs, "length long, _rank long, _pieces long, _first long, _each long, _offset long")
+    before = few(spark.createDataFrame(before, "length long, _bucket long, _before long"), len(before))
+    runs = few(spark.createDataFrame(runs, "_length long, _rank long, _pieces long, _first long, _each long, _offset long"), len(runs))
 
     nth = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
-    ranked = pieces.withColumn("_rn", F.row_number().over(nth)).join(F.broadcast(before), ["length", "_bucket"])
+    ranked = pieces.withColumn("_rn", F.row_number().over(nth)).join(before, ["length", "_bucket"])
     ranked = ranked.withColumn("_at", F.col("_before") + F.col("_rn") - 1)
     inside = (F.col("_at") >= F.col("_rank")) & (F.col("_at") < F.col("_rank") + F.col("_pieces"))
-    placed = ranked.join(F.broadcast(runs.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & inside)
+    placed = ranked.join(runs, (F.col("length") == F.col("_length")) & inside)
     nth_in_run = F.col("_at") - F.col("_rank")
     return placed.select(
         "doc_id",
