@@ -6,7 +6,7 @@ suffixes. The suffixes of round t + 1 are the empty ones and, sorted stably by t
 the collection Burrows-Wheeler transform is the column of symbols that stand before each suffix, and the common prefix of
 neighbours is one more than the least common prefix between their places in the round before. Each round reads and
 writes the transform and the prefix column from end to end, as sequential files would be; a bucket's strings are worked
-on in parts of at most PART_STRINGS, so these columns stay in memory. After as many rounds as the longest string has
+on in parts of about PART_STRINGS, those of a minimiser together, so these columns stay in memory. After as many rounds as the longest string has
 bytes, suffixes with a common prefix of 50 or more hold equal 50-byte strings.
 
 Equal strings of a bucket are one string to the sort, with the smallest of their ids; they are compared as bytes. Before
