@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import providers
+from weftgraph.functions.text import PROMPT_VERSION
 from weftgraph.memory import Memory
 from weftgraph.operators import evaluate
 from weftgraph.sources.datasets import transcripts, write_records
@@ -98,6 +99,9 @@ def run_bench(memory: Memory, turns: DataFrame, questions: DataFrame, config: Be
         "per_category": {r.category: {"total": r.total, "correct": r.correct, "acc": r.correct / r.total} for r in by_category},
         "n_propositions_ingested": facts, "mean_recall_latency_ms": share(recalled_ms), "mean_answer_latency_ms": share(answered_ms),
         "started_at": started.isoformat(), "finished_at": datetime.now(UTC).isoformat(), "config": asdict(config),
+        "stack": {"extractor": memory.config.extractor_model, "prompt_version": PROMPT_VERSION, "mode": "propositions" if memory.config.extract_propositions else "chunks",
+                  "embedder": getattr(memory.embedder, "__qualname__", str(memory.embedder)), "reranker": getattr(memory.reranker, "__qualname__", str(memory.reranker)),
+                  "half_life_days": memory.config.parameters.half_life_days, "rrf_k": memory.config.parameters.rrf_k},
     }
     spark.createDataFrame([(json.dumps(report),)], "value string").coalesce(1).write.mode("overwrite").text(f"{output}/{config.name}-report")
     return report
