@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as T
 from weftgraph.operators import evaluate, fusion, graph, ingest, keyword, scoring
-from weftgraph.functions.vector import hashing_embedder, nearest
+from weftgraph.functions.vector import hashing_embedder, l2_normalise, nearest
 from weftgraph.memory import Memory, MemoryConfig
 from weftgraph.plans import derived as D
 from weftgraph.plans.search import SearchParameters, rank_fused, recall, search
@@ -300,12 +300,40 @@ def offline_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.statements(extracted).select("document_id", "ordinal", "number", "p_text", "subject", "predicate", "object", "object_is_literal")
 
 
-@query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, length(text) AS chars, 'chunk' AS mode, CAST(NULL AS VARCHAR) AS subject_id, CAST(NULL AS VARCHAR) AS predicate FROM pieces")
-def chunks_mode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ingested(spark: SparkSession, sf_dir: str) -> Memory:
+    """All documents ingested chunk by chunk."""
     memory = Memory(_store(spark), MemoryConfig(extract_propositions=False), embedder=hashing_embedder(8))
     d = D.table(spark, sf_dir, "documents")
     none = F.lit(None)
     memory.ingest_many(d.select(F.col("doc_id").cast("string").alias("id"), "text", "source", none.cast("string").alias("session_id"), none.cast("timestamp").alias("asserted_at")))
+    return memory
+
+
+@query(
+    f"""WITH {_PIECES}, kept AS (SELECT * FROM pieces WHERE CAST(document_id AS BIGINT) % 3 <> 0)
+SELECT unnest(['documents', 'chunks', 'propositions', 'lengths', 'edges', 'entities']) AS table_name,
+       unnest([(SELECT count(*) FROM documents WHERE doc_id % 3 <> 0), (SELECT count(*) FROM kept), (SELECT count(*) FROM kept), (SELECT count(*) FROM kept), 0, 0]) AS n"""
+)
+def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table after a third of the ingested documents, with all that hangs on them, is deleted."""
+    kb = _ingested(spark, sf_dir).store
+    kb.delete_documents(D.table(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id")))
+    counts = kb.health()
+    return spark.createDataFrame([(name, counts[name]) for name in ("documents", "chunks", "propositions", "lengths", "edges", "entities")], "table_name string, n long")
+
+
+@query(
+    """SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / n)), 6) AS total, round(v[1] / n, 6) AS first
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings)"""
+)
+def l2_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unit = D.table(spark, sf_dir, "embeddings").select("vec_id", l2_normalise(F.col("embedding")).alias("u"))
+    return unit.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
+@query(f"WITH {_PIECES} SELECT document_id, CAST(ordinal AS INTEGER) AS ordinal, length(text) AS chars, 'chunk' AS mode, CAST(NULL AS VARCHAR) AS subject_id, CAST(NULL AS VARCHAR) AS predicate FROM pieces")
+def chunks_mode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memory = _ingested(spark, sf_dir)
     c = memory.store.read("chunks").select(F.col("id").alias("chunk_id"), "document_id", F.expr("span_start div 1200").cast("int").alias("ordinal"))
     rows = memory.store.propositions("default").join(c, "chunk_id")
     return rows.select("document_id", "ordinal", F.char_length("text").cast("long").alias("chars"), F.col("metadata")["mode"].alias("mode"), "subject_id", "predicate")

@@ -149,7 +149,8 @@ class Store:
     def index_keywords(self, rows: DataFrame, analyzer: str = "english") -> None:
         """Write the postings and lengths of rows, by namespace and hash of the lexeme."""
         found = postings(rows, analyzer).withColumn("analyzer", F.lit(analyzer)).withColumn("bucket", keyword_bucket())
-        self.append("postings", found)
+        # A bucket's rows come together, so that a write leaves a few files a bucket; frequent words are spread over some.
+        self.append("postings", found.repartition("namespace", "bucket", F.pmod(F.xxhash64("prop_id"), F.lit(4))))
         sizes = row_words(rows, analyzer).select("namespace", F.lit(analyzer).alias("analyzer"), "prop_id", F.size(F.array_distinct("words")).alias("dl"))
         self.append("lengths", sizes)
 
