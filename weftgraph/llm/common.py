@@ -26,6 +26,8 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Bytes of an Arrow batch, the same for all operators: what a Python worker is sent at once. A longer row is one batch.
+BATCH_BYTES = 8 << 20
 #: Tables that operators have staged and nobody has dropped.
 _STAGED: list[str] = []
 
@@ -65,7 +67,8 @@ def sliced(batch_iter: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa
 
 
 def with_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """doc_id, text (null: empty) and further columns under fixed names."""
+    """doc_id, text (null: empty) and further columns under fixed names. Also bounds Arrow batches by BATCH_BYTES."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more
     )
