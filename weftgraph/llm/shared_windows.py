@@ -3,13 +3,16 @@
 Symbols are words or bytes. The minimiser of a window is its smallest m-gram hash; consecutive windows of one minimiser
 are a run (super-k-mer) of WINDOW + windows - 1 symbols. Equal windows have equal minimisers, so whatever repeats meets
 in the bucket of its minimiser. Documents travel once, to chunks of about CHUNK_BYTES by a hash of id and text; all
-else travels between chunks and buckets as packed arrays, one row a (chunk, bucket), already combined per chunk:
+else travels between chunks and buckets as packed arrays, one row a (chunk, bucket), already combined per chunk. These
+rows grow with the square of the input, so chunks and buckets are as large as a worker's memory allows, and a bucket is
+taken from a scrambled minimiser: the smallest of many hashes is near zero, and its own upper bits would deal most runs
+to a few buckets.
 
 A. chunk -> bucket: (minimiser, distinct runs, whether several documents have it) for each minimiser of the chunk.
 B. bucket -> chunk: minimisers that several chunks, or several documents of one, have.
 C. chunk -> bucket: each distinct run of those minimisers as one packed string. Runs of a minimiser that more than
-   HOT_RUNS distinct (chunk, run) pairs have are sent window by window, to the buckets of the windows' digests, so that
-   no bucket gathers an unbounded group.
+   HOT_RUNS distinct (chunk, run) pairs have (a quarter of it for words, whose strings are longer) are sent window by
+   window, to the buckets of the windows' digests, so that no bucket gathers an unbounded group.
 D. bucket -> chunk: the bucket compares its strings, equal ones whole and the windows of the others symbol by symbol (the
    solver), and returns for each string the windows that a smaller id has.
 E. chunk: every window with a smaller id is covered; the covered symbols of each document are handed to `finish`.
@@ -36,10 +39,10 @@ from weftgraph.llm.common import as_bytes, with_text
 from weftgraph.llm.words import _BASE, _BASE_INVERSE, _BYTE, U64, WordTable, _power, mix
 
 WINDOW = 50
-CHUNK_BYTES = 1 << 20
-BUCKET_BYTES = 2 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
 BLOCK_SYMBOLS = 1 << 20
-HOT_RUNS = 5000
+HOT_RUNS = 20_000
 KEY_BITS = 40
 CONFIRM_BYTES = 1 << 20
 _ROW = "bucket int, chunk int, payload binary"
@@ -101,7 +104,7 @@ def confirm_equal(raw: np.ndarray, start: np.ndarray, size: np.ndarray, digest:
 class Runs:
     start: np.ndarray  # first symbol
     windows: np.ndarray
-    key: np.ndarray  # minimiser, KEY_BITS
+    key: np.ndarray  # minimiser, scrambled, KEY_BITS
     digest: np.ndarray  # of the content
     doc: np.ndarray  # place in the chunk
 
@@ -183,7 +186,7 @@ class Chunk:
                 within = np.arange(len(at)) - np.repeat(head, size)
                 head = np.flatnonzero(within % span == 0)
                 size = np.diff(np.append(head, len(at)))
-            parts.append((at[head], size, least[head] >> U64(64 - KEY_BITS), doc[head]))
+            parts.append((at[head], size, mix(least[head]) >> U64(64 - KEY_BITS), doc[head]))
         if not parts:
             e = np.empty(0, np.int64)
             return Runs(e, e, e.astype(U64), e.astype(U64), e)
@@ -223,8 +226,9 @@ def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 class Exchange:
     """Steps A to E; bits: buckets as a power of two, 8 at least so that 32 bits of a key remain inside one."""
 
-    def __init__(self, words: bool, gram: int, bits: int, solver: Solver, finish, out: pa.Schema):
+    def __init__(self, words: bool, gram: int, bits: int, solver: Solver, finish, out: pa.Schema, hot_runs: int):
         self.words, self.gram, self.bits, self.solver, self.finish, self.out = words, gram, bits, solver, finish, out
+        self.hot_runs = hot_runs
 
     def _bucket(self, key: np.ndarray) -> np.ndarray:
         return (key >> U64(KEY_BITS - self.bits)).astype(np.int32)
@@ -244,8 +248,9 @@ class Exchange:
             n = np.diff(np.append(np.searchsorted(distinct, head), len(distinct)))
             several = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head)
             k, n = k[head], (np.minimum(n, 2**15 - 1) * 2 + several).astype(np.uint16)
+            inside, name = self._inside(k), key[0].as_py()
             for bucket, part in _by_bucket(self._bucket(k)):
-                rows.append((bucket, key[0].as_py(), pack(self._inside(k[part]), n[part])))
+                rows.append((bucket, name, pack(inside[part], n[part])))
         return _rows(rows, _ROW_SCHEMA)
 
     def b(self, key: tuple, table: pa.Table) -> pa.Table:
@@ -259,7 +264,7 @@ class Exchange:
         head = _heads(k)
         size = np.diff(np.append(head, len(k)))
         shared = (size > 1) | (n[head] & 1 > 0)
-        hot = np.add.reduceat(n.astype(np.int64) >> 1, head) > HOT_RUNS
+        hot = np.add.reduceat(n.astype(np.int64) >> 1, head) > self.hot_runs
         shared, hot = np.repeat(shared, size), np.repeat(hot, size)
         chunk, k, hot = chunk[shared], k[shared], hot[shared]
         order = np.argsort(chunk, kind="stable")
@@ -378,11 +383,18 @@ class Exchange:
             head = _heads(r.digest)
             hit = ids > np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(ids))))
             payloads = [unpack(x) for x in told.column("payload").to_pylist()]
-            answers = [(g, first.astype(np.int64), n.astype(np.int64), unpack_ids(*low)) for _, g, first, n, *low in (p for p in payloads if p[0][0] == 1)]
+            answers = [(g, first, n, unpack_ids(*low)) for _, g, first, n, *low in (p for p in payloads if p[0][0] == 1)]
+            # All buckets' answers as one, sorted by digest: what follows is done once, not once a bucket.
+            if answers:
+                g, first, n, smaller = (np.concatenate(x) for x in zip(*answers, strict=True))
+                by = np.lexsort((smaller, g))
+                g, first, n, smaller = g[by], first[by].astype(np.int64), n[by].astype(np.int64), smaller[by]
+            else:
+                g, first, n, smaller = np.empty(0, U64), *np.empty((3, 0), np.int64)
             for p in payloads:
                 if p[0][0] == 0:
-                    self._hot(chunk, r, np.flatnonzero(self._find(p[1], r.key) >= 0), answers, covered)
-            for g, first, n, smaller in answers:
+                    self._hot(chunk, r, np.flatnonzero(self._find(p[1], r.key) >= 0), g, smaller, covered)
+            if len(g):
                 s, e = np.searchsorted(r.digest, g, "left"), np.searchsorted(r.digest, g, "right")
                 each = e - s
                 told_by = np.repeat(np.arange(len(g)), each)
@@ -393,17 +405,16 @@ class Exchange:
             covered(r.start[hit], r.windows[hit])
         return self.finish(chunk, np.cumsum(cover[:-1]) > 0, self.out)
 
-    def _hot(self, chunk: Chunk, r: Runs, hot: np.ndarray, answers: list, covered) -> None:
-        """Cover the windows of hot runs that an answer, or another document of the chunk, gives a smaller id."""
+    def _hot(self, chunk: Chunk, r: Runs, hot: np.ndarray, g: np.ndarray, smaller: np.ndarray, covered) -> None:
+        """Cover the windows of hot runs that an answer, or another document of the chunk, gives a smaller id. Answers
+        (digests g, smaller ids) come sorted by both."""
         start, digest, doc = self._windows(chunk, r, hot)
         order = np.argsort(digest, kind="stable")
         start, digest, ids = start[order], digest[order], chunk.doc_ids[doc[order]]
         chunk.confirm(start, np.full(len(start), WINDOW), digest)
         head = _heads(digest)
         hit = ids > np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(ids))))
-        for g, _, _, smaller in answers:
-            by = np.lexsort((smaller, g))
-            g, smaller = g[by], smaller[by]
+        if len(g):
             first = _heads(g)
             at = self._find(g[first], digest)
             hit |= (at >= 0) & (ids > smaller[first][at])
@@ -416,7 +427,7 @@ def covered_by_smaller(df: DataFrame, *, words: bool, gram: int, solver: Solver,
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
     bits = max(8, math.ceil(math.log2(max(1, size / BUCKET_BYTES))))
-    x = Exchange(words, gram, bits, solver, finish, out)
+    x = Exchange(words, gram, bits, solver, finish, out, max(1, HOT_RUNS // 4) if words else HOT_RUNS)
     docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
     by_chunk = docs.groupBy("chunk")
     sent = by_chunk.applyInArrow(lambda k, t: x.a(k, t), _ROW)
