@@ -66,13 +66,26 @@ def chunk_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
     return [_joined(text, spans) for spans in chunk_spans(text, size, overlap)]
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+def step_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[list[tuple[int, int]]]:
+    """The cuts of a text as it is, blank lines and edges included: each of size characters, size - overlap after the one
+    before, and the rest; a text of at most size characters is one."""
+    if overlap >= size:
+        raise ValueError("overlap must be smaller than size")
+    step = size - overlap
+    cuts = max(0, -(-(len(text) - size) // step))
+    return [[(i * step, min(i * step + size, len(text)))] for i in range(cuts + 1)]
+
+
+def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, paragraphs: bool = True) -> DataFrame:
     """(document_id, ordinal, text, span_start, span_end, offset_start): chunks with nominal spans and true offsets.
 
-    offset_start is where the chunk begins in the text; null where joining paragraphs changed the characters between.
+    Chunks pack paragraphs (see chunk_spans), a null text is an empty one; without paragraphs they are cuts at fixed steps
+    (see step_spans), and a null text has none. offset_start is where the chunk begins in the text; null where joining
+    paragraphs changed the characters between.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
+    spans_of = chunk_spans if paragraphs else step_spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("document_id", "ordinal", "text", "span_start", "span_end", "offset_start")
@@ -80,8 +93,10 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, ov
         for b in batches:
             rows: list[list] = [[] for _ in names]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if text is None and not paragraphs:
+                    continue
                 whole = text or ""
-                for i, spans in enumerate(chunk_spans(whole, size, overlap)):
+                for i, spans in enumerate(spans_of(whole, size, overlap)):
                     c, start = _joined(whole, spans), spans[0][0]
                     true = start if whole.startswith(c, start) else None
                     for r, x in zip(rows, (doc, i, c, i * size, i * size + len(c), true), strict=True):
