@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from weftgraph.operators import ingest
 
 TEXTS = [
     "one\n\ntwo\n\n\nthree", "  led by spaces and ended by a line\n", "x" * 1190 + " \n\n " + "y" * 1500, "", None, " " * 1500, "\n\n\n", "é東\U0001f600" * 900,
@@ -38,3 +39,12 @@ def test_chunk_documents(spark, odd):
     got, want = both(spark, odd, "chunk_documents")
     assert got == want
     assert ["('4'" in "".join(x) for x in both(spark, odd, "chunk_paragraphs")] == [False, False]  # a null text has no chunk
+
+
+def test_offline_extract(spark, odd):
+    got, want = both(spark, odd, "offline_extract")
+    assert got == want
+    # What a model leaves without a text is still named by its parts.
+    said = spark.createDataFrame([("", "a", "b", "c")], "text string, subject string, predicate string, object string")
+    each = said.selectExpr("array(named_struct('text', text, 'subject', subject, 'predicate', predicate, 'object', object, 'object_is_literal', true)) AS propositions")
+    assert [ingest.statements(each, fill=f).first().p_text for f in (True, False)] == ["a b c", ""]

@@ -82,7 +82,7 @@ class Memory:
                 store.count_cache_hits(extracted.select("cache_key").join(seen, "cache_key", "left_semi"), now)
                 kept = new.withColumns({"extractor_model": F.lit(c.extractor_model), "prompt_version": F.lit("v1"), "created_at": at})
                 store.append("proposition_cache", kept, ("cache_key",))
-            said = I.statements(extracted).withColumnRenamed("id", "chunk_id")
+            said = I.statements(extracted, fill=self.extractor is not None).withColumnRenamed("id", "chunk_id")
             names = said.select("subject", F.when(~F.col("object_is_literal"), F.col("object")).alias("object"))
             names = names.select(F.explode(F.array("subject", "object")).alias("name")).filter("name IS NOT NULL").distinct()
             asked = names.select(F.col("name").alias("request_id"), ns.alias("namespace"), "name", F.lit("concept").alias("type"))

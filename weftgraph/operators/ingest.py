@@ -160,8 +160,11 @@ def extract(chunked: DataFrame, cache: DataFrame | None, model: str, extractor:
     return both, new
 
 
-def statements(extracted: DataFrame) -> DataFrame:
-    """One row per proposition of a chunk, with its text filled in: ..., number, p_text, subject, predicate, object, object_is_literal."""
+def statements(extracted: DataFrame, fill: bool = True) -> DataFrame:
+    """One row per proposition of a chunk: ..., number, p_text, subject, predicate, object, object_is_literal.
+
+    fill: an empty text is made of subject, predicate and object; offline extraction leaves that of an empty chunk empty.
+    """
     each = extracted.select(*[c for c in extracted.columns if c != "propositions"], F.posexplode("propositions").alias("number", "p"))
-    said = statement(F.col("p.text"), F.col("p.subject"), F.col("p.predicate"), F.col("p.object"))
+    said = statement(F.col("p.text"), F.col("p.subject"), F.col("p.predicate"), F.col("p.object")) if fill else F.col("p.text")
     return each.select("*", said.alias("p_text"), "p.subject", "p.predicate", "p.object", "p.object_is_literal").drop("p")
