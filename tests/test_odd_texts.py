@@ -48,3 +48,10 @@ def test_offline_extract(spark, odd):
     said = spark.createDataFrame([("", "a", "b", "c")], "text string, subject string, predicate string, object string")
     each = said.selectExpr("array(named_struct('text', text, 'subject', subject, 'predicate', predicate, 'object', object, 'object_is_literal', true)) AS propositions")
     assert [ingest.statements(each, fill=f).first().p_text for f in (True, False)] == ["a b c", ""]
+
+
+def test_chunks_mode_rows(spark, odd):
+    got, want = both(spark, odd, "chunks_mode_rows")
+    assert got == want
+    got, want = both(spark, odd, "delete_cascade")
+    assert got == want

@@ -61,12 +61,12 @@ class Memory:
         one = self.spark.createDataFrame([(new_id(), text, source, session_id, asserted_at)], "id string, text string, source string, session_id string, asserted_at timestamp")
         return self.ingest_many(one, chunk_size=chunk_size, chunk_overlap=chunk_overlap)
 
-    def ingest_many(self, texts: DataFrame, *, chunk_size: int = I.CHUNK_SIZE, chunk_overlap: int = I.CHUNK_OVERLAP) -> IngestResult:
-        """texts: id, text, source, session_id, asserted_at; all of them in one batch."""
+    def ingest_many(self, texts: DataFrame, *, chunk_size: int = I.CHUNK_SIZE, chunk_overlap: int = I.CHUNK_OVERLAP, paragraphs: bool = True) -> IngestResult:
+        """texts: id, text, source, session_id, asserted_at; all of them in one batch. paragraphs: see ingest.chunks."""
         c, store, now = self.config, self.store, datetime.now(UTC)
         ns, none, at = F.lit(c.namespace), F.lit(None), F.lit(now)
         store.append("documents", texts.select("id", "source", ns.alias("namespace"), none.cast("map<string,string>").alias("metadata"), at.alias("created_at")))
-        pieces = I.chunks(texts, "id", "text", chunk_size, chunk_overlap)
+        pieces = I.chunks(texts, "id", "text", chunk_size, chunk_overlap, paragraphs)
         pieces = pieces.withColumn("id", F.sha2(F.concat_ws("\x1f", "document_id", "ordinal"), 256))
         facts = texts.select(F.col("id").alias("document_id"), "session_id", "asserted_at")
         pieces = cut(pieces.join(facts, "document_id"))
