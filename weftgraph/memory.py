@@ -66,13 +66,11 @@ class Memory:
         c, store, now = self.config, self.store, datetime.now(UTC)
         ns, none, at = F.lit(c.namespace), F.lit(None), F.lit(now)
         store.append("documents", texts.select("id", "source", ns.alias("namespace"), none.cast("map<string,string>").alias("metadata"), at.alias("created_at")))
-        pieces = I.chunks(texts, "id", "text", chunk_size, chunk_overlap, paragraphs)
-        pieces = pieces.withColumn("id", F.sha2(F.concat_ws("\x1f", "document_id", "ordinal"), 256))
-        facts = texts.select(F.col("id").alias("document_id"), "session_id", "asserted_at")
-        pieces = cut(pieces.join(facts, "document_id"))
+        pieces = I.chunks(texts, "id", "text", chunk_size, chunk_overlap, paragraphs, ("session_id", "asserted_at"))
+        pieces = staged(pieces.withColumn("id", F.sha2(F.concat_ws("\x1f", "document_id", "ordinal"), 256)), "pieces")
         offsets = (F.col("offset_start") + F.char_length("text")).alias("offset_end")
         store.append("chunks", pieces.select("*", offsets, none.cast("map<string,string>").alias("metadata"), at.alias("created_at")))
-        common = {"created_at": at, "last_accessed_at": at, "access_count": F.lit(0), "superseded_by": none, "confidence": F.lit(1.0), "namespace": ns}
+        common = {"created_at": at, "last_accessed_at": at, "access_count": F.lit(0), "superseded_by": none.cast("string"), "confidence": F.lit(1.0), "namespace": ns}
         touched = 0
         if c.extract_propositions:
             extracted, new = I.extract(pieces, store.read("proposition_cache") if c.use_extract_cache else store.read("proposition_cache").limit(0), c.extractor_model, self.extractor)
@@ -104,7 +102,7 @@ class Memory:
             text = none.cast("string")
             rows = pieces.select(F.sha2(F.col("id"), 256).alias("id"), "text", text.alias("subject_id"), text.alias("predicate"), text.alias("object_id"), text.alias("object_literal"),
                 F.col("id").alias("chunk_id"), "session_id", "asserted_at", F.create_map(F.lit("mode"), F.lit("chunk")).alias("metadata"))
-        rows = cut(self._embedded(rows, "text").withColumns(common))
+        rows = staged(self._embedded(rows, "text").withColumns(common), "rows")
         store.append("propositions", rows)
         store.index_keywords(rows, c.parameters.analyzer)
         edges = rows.filter("object_id IS NOT NULL").select(F.col("subject_id").alias("src_entity"), F.col("object_id").alias("dst_entity"), F.col("predicate").alias("relation"), F.lit(1.0).alias("weight"), F.col("id").alias("proposition_id"))

@@ -17,6 +17,8 @@ from weftgraph.schema import PROPOSITION
 
 CHUNK_SIZE, CHUNK_OVERLAP = 1200, 100
 OFFLINE_CHARS = 120
+#: Texts that a worker turns into objects at once.
+SLICE = 256
 MAX_PROPOSITIONS = 20
 Extractor = Callable[[list[str]], list[list[dict]]]
 
@@ -76,12 +78,12 @@ def step_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
     return [[(i * step, min(i * step + size, len(text)))] for i in range(cuts + 1)]
 
 
-def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, paragraphs: bool = True) -> DataFrame:
-    """(document_id, ordinal, text, span_start, span_end, offset_start): chunks with nominal spans and true offsets.
+def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, paragraphs: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(document_id, ordinal, text, span_start, span_end, offset_start, *carry): chunks with nominal spans and true offsets.
 
     Chunks pack paragraphs (see chunk_spans), a null text is an empty one; without paragraphs they are cuts at fixed steps
     (see step_spans), and a null text has none. offset_start is where the chunk begins in the text; null where joining
-    paragraphs changed the characters between.
+    paragraphs changed the characters between. carry: columns that each chunk has from its row.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
@@ -90,9 +92,10 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, ov
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("document_id", "ordinal", "text", "span_start", "span_end", "offset_start")
         kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32())
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             rows: list[list] = [[] for _ in names]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parents: list[int] = []
+            for parent, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if text is None and not paragraphs:
                     continue
                 whole = text or ""
@@ -101,10 +104,13 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int = CHUNK_SIZE, ov
                     true = start if whole.startswith(c, start) else None
                     for r, x in zip(rows, (doc, i, c, i * size, i * size + len(c), true), strict=True):
                         r.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=list(names))
+                    parents.append(parent)
+            own = [b.column(2 + i).take(pa.array(parents, pa.int32())) for i in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([*[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], *own], names=[*names, *carry])
 
     schema = "document_id string, ordinal int, text string, span_start int, span_end int, offset_start int"
-    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema += "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), *carry).mapInArrow(run, schema)
 
 
 def offline_propositions(text: Column) -> Column:

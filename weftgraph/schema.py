@@ -24,8 +24,9 @@ EDGES = _table(src_entity=_S, dst_entity=_S, relation=_S, weight=_F, proposition
 ENTITY_PAGERANK = _table(entity_id=_S, score=_D, computed_at=_TS, namespace=_S)
 PROPOSITION = _table(text=_S, subject=_S, predicate=_S, object=_S, object_is_literal=_B)
 PROPOSITION_CACHE = _table(cache_key=_S, chunk_hash=_S, extractor_model=_S, prompt_version=_S, propositions=T.ArrayType(PROPOSITION), created_at=_TS)
-POSTINGS = _table(namespace=_S, bucket=_I, analyzer=_S, lexeme=_S, prop_id=_S, session_id=_S, tf=_L, dl=_I)
-LENGTHS = _table(namespace=_S, analyzer=_S, prop_id=_S, dl=_I)
+#: A posting names its row by (batch, ref), which its line in LENGTHS resolves: an id in every posting is most of a table.
+POSTINGS = _table(namespace=_S, bucket=_I, analyzer=_S, lexeme=_S, batch=_S, ref=_L, tf=_L)
+LENGTHS = _table(namespace=_S, analyzer=_S, prop_id=_S, session_id=_S, dl=_I, batch=_S, ref=_L)
 MIGRATIONS = _table(name=_S, applied_at=_TS)
 ACCESS_EVENTS = _table(proposition_id=_S, ts=_TS)
 SUPERSEDE_EVENTS = _table(proposition_id=_S, replacement=_S, ts=_TS)

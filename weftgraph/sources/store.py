@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.operators.keyword import postings, row_words, statistics
+from weftgraph.functions.text import counted
+from weftgraph.operators.keyword import row_words, statistics
 from weftgraph.schema import PARTITIONED, TABLES
-from weftgraph.sources.shared import few, shared_dir, staged
+from weftgraph.sources.shared import CODEC, few, shared_dir, staged
 
 KEYWORD_BUCKETS = 64
+#: Files that a task writes side by side; for more it would sort its rows by partition first.
+OPEN_FILES = 2 * KEYWORD_BUCKETS
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,6 +44,23 @@ def fold_supersede(rows: DataFrame, events: DataFrame) -> DataFrame:
     return joined.withColumn("superseded_by", F.coalesce("_by", "superseded_by")).select(*rows.columns)
 
 
+def marks(gone: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, _block, _bits): the numbers `at` under each key as bits, 4096 a row, so that many rows are few enough to broadcast."""
+    bit = F.expr(f"shiftleft(1L, CAST({at} & 63 AS INT))")
+    words = gone.groupBy(key, F.shiftright(at, 6).alias("_word")).agg(F.bit_or(bit).alias("_mask"))
+    each = F.map_from_entries(F.collect_list(F.struct(F.col("_word").bitwiseAND(63).cast("int"), "_mask")))
+    blocks = words.groupBy(key, F.shiftright("_word", 6).alias("_block")).agg(each.alias("_masks"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("_masks", i), F.lit(0).cast("long")))
+    return blocks.select(key, "_block", bits.alias("_bits"))
+
+
+def unmarked(df: DataFrame, marked: DataFrame, key: str, at: str) -> DataFrame:
+    """The rows of df that marks(..., key, at) does not name; df is not shuffled."""
+    found = df.withColumn("_block", F.shiftright(at, 12)).join(few(staged(marked, "marks")), [key, "_block"], "left")
+    mask = F.get("_bits", F.shiftright(at, 6).bitwiseAND(63).cast("int"))
+    return found.filter(F.coalesce(F.getbit(mask, F.col(at).bitwiseAND(63).cast("int")), F.lit(0)) == 0).select(*df.columns)
+
+
 def active(rows: DataFrame) -> DataFrame:
     return rows.filter("superseded_by IS NULL")
 
@@ -60,6 +80,8 @@ class Store:
         for name in new:
             steps[name]()
             self._write("migrations", self.spark.createDataFrame([(name, datetime.now(UTC))], TABLES["migrations"]))
+        if "002_keyword_index" in done:
+            self._renew_index()
         return new
 
     def _create_tables(self) -> None:
@@ -72,6 +94,16 @@ class Store:
         have = self.read("lengths").select(F.col("prop_id").alias("id"))
         self.index_keywords(self.read("propositions").join(have, "id", "left_anti"))
 
+    def _renew_index(self) -> None:
+        """Index anew what was indexed when postings held ids; what was renewed before an interruption stays."""
+        lengths = self.read("lengths")
+        for analyzer in [r.analyzer for r in lengths.filter("ref IS NULL").select("analyzer").distinct().collect()]:
+            own = lengths.filter(F.col("analyzer") == analyzer)
+            old, new = (own.filter(f"ref IS {x}NULL").select(F.col("prop_id").alias("id")) for x in ("", "NOT "))
+            self.index_keywords(self.read("propositions").join(old, "id", "left_semi").join(new, "id", "left_anti"), analyzer)
+            keep = (F.col("analyzer") != analyzer) | F.col("ref").isNotNull()
+            self._swap({name: self.read(name).filter(keep) for name in ("postings", "lengths")})
+
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
@@ -84,10 +116,15 @@ class Store:
         return files.exists(at)
 
     def _write(self, name: str, df: DataFrame, mode: str = "append", path: str | None = None) -> None:
-        writer = df.write.mode(mode)
+        writer, conf, writers = df.write.mode(mode), self.spark.conf, "spark.sql.maxConcurrentOutputFileWriters"
         if name in PARTITIONED:
             writer = writer.partitionBy(*PARTITIONED[name])
-        writer.parquet(path or self._path(name))
+        before = conf.get(writers)
+        conf.set(writers, str(OPEN_FILES))
+        try:
+            writer.parquet(path or self._path(name), compression=CODEC)
+        finally:
+            conf.set(writers, before)
 
     def _swap(self, tables: dict[str, DataFrame]) -> None:
         """Replace tables together: all are written aside, then a journal names them, then they are moved. What fails
@@ -147,12 +184,14 @@ class Store:
         return gone.union(self.read("propositions").filter("superseded_by IS NOT NULL").select("id")).distinct()
 
     def index_keywords(self, rows: DataFrame, analyzer: str = "english") -> None:
-        """Write the postings and lengths of rows, by namespace and hash of the lexeme."""
-        found = postings(rows, analyzer).withColumn("analyzer", F.lit(analyzer)).withColumn("bucket", keyword_bucket())
-        # A bucket's rows come together, so that a write leaves a few files a bucket; frequent words are spread over some.
-        self.append("postings", found.repartition("namespace", "bucket", F.pmod(F.xxhash64("prop_id"), F.lit(4))))
-        sizes = row_words(rows, analyzer).select("namespace", F.lit(analyzer).alias("analyzer"), "prop_id", F.size(F.array_distinct("words")).alias("dl"))
-        self.append("lengths", sizes)
+        """Write the postings and lengths of rows, by namespace and hash of the lexeme. Each text is read once, nothing is
+        shuffled or sorted: a task leaves a file a bucket. Postings without lengths are not found, so lengths come last."""
+        counts = row_words(rows, analyzer).select("namespace", "prop_id", "session_id", counted(F.col("words")).alias("counts"))
+        kept = staged(counts.withColumn("ref", F.monotonically_increasing_id()), "keyword-counts")
+        kept = kept.withColumns({"analyzer": F.lit(analyzer), "batch": F.lit(new_id())})
+        each = kept.select("namespace", "analyzer", "batch", "ref", F.explode("counts").alias("x")).select("*", "x.lexeme", "x.tf")
+        self.append("postings", each.withColumn("bucket", keyword_bucket()))
+        self.append("lengths", kept.withColumn("dl", F.size("counts")))
 
     def health(self) -> dict[str, int]:
         """Rows of each table."""
@@ -189,21 +228,30 @@ class Store:
         self._swap({"propositions": self.propositions(), **empty})
 
     def delete_documents(self, ids: DataFrame) -> None:
-        """Remove documents (column id) with their chunks, propositions, postings and edges, all at once."""
-        documents, chunks, rows = self.read("documents"), self.read("chunks"), self.read("propositions")
+        """Remove documents (column id) with their chunks, propositions, postings and edges, all at once.
+
+        What goes is found by ids alone and named by file and row, so that texts, vectors and postings are not shuffled.
+        """
         asked = ids.select(F.col("id").alias("document_id"))
-        gone_chunks = chunks.join(asked, "document_id", "left_semi").select(F.col("id").alias("chunk_id"))
-        gone_rows = staged(rows.join(gone_chunks, "chunk_id", "left_semi").select(F.col("id").alias("proposition_id")), "gone")
-        by_row = gone_rows.select(F.col("proposition_id").alias("prop_id"))
+        chunks = self._find("chunks", asked, "document_id", "id")
+        rows = self._find("propositions", chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "id")
+        lengths = self._find("lengths", rows.select(F.col("id").alias("prop_id")), "prop_id", "batch", "ref")
+        edges = self._find("edges", rows.select(F.col("id").alias("proposition_id")), "proposition_id")
+        gone = {"edges": edges, "lengths": lengths, "propositions": rows, "chunks": chunks}
         self._swap({
-            "edges": self.read("edges").join(gone_rows, "proposition_id", "left_anti"),
-            "postings": self.read("postings").join(by_row, "prop_id", "left_anti"),
-            "lengths": self.read("lengths").join(by_row, "prop_id", "left_anti"),
-            "propositions": rows.join(gone_chunks, "chunk_id", "left_anti"),
-            "chunks": chunks.join(asked, "document_id", "left_anti"),
-            "documents": documents.join(ids.select("id"), "id", "left_anti"),
+            "postings": unmarked(self.read("postings"), marks(lengths, "batch", "ref"), "batch", "ref"),
+            **{name: unmarked(self._placed(name), marks(found, "_file", "_row"), "_file", "_row") for name, found in gone.items()},
+            "documents": self.read("documents").join(ids.select("id"), "id", "left_anti"),
         })
 
+    def _placed(self, name: str) -> DataFrame:
+        """A table with the file and number of each row in it."""
+        return self.read(name).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+    def _find(self, name: str, keys: DataFrame, key: str, *columns: str) -> DataFrame:
+        """columns, _file and _row of the rows of a table that have one of the keys."""
+        return staged(self._placed(name).join(keys, key, "left_semi").select(*columns, "_file", "_row"), f"gone-{name}")
+
     def delete_entities(self, ids: DataFrame) -> None:
         """Remove entities (column id) with their edges and scores; propositions lose the end."""
         gone = ids.select("id").distinct()
@@ -230,17 +278,19 @@ class StoredIndex:
     def __init__(self, store: Store, namespace: str, analyzer: str = "english"):
         self.store, self.namespace, self.analyzer = store, namespace, analyzer
 
-    def _active(self, name: str) -> DataFrame:
-        rows = self.store.read(name, self.namespace).filter(F.col("analyzer") == self.analyzer)
+    def _lengths(self) -> DataFrame:
+        """Lengths of the active rows."""
+        rows = self.store.read("lengths", self.namespace).filter(F.col("analyzer") == self.analyzer)
         return rows.join(self.store.superseded(), "prop_id", "left_anti")
 
     def hits(self, terms: DataFrame) -> DataFrame:
         asked = few(staged(terms.select("namespace", "lexeme", keyword_bucket().alias("bucket")).distinct(), "keyword-asked"))
-        found = self._active("postings").join(asked, ["namespace", "bucket", "lexeme"])
+        found = self.store.read("postings", self.namespace).filter(F.col("analyzer") == self.analyzer).join(asked, ["namespace", "bucket", "lexeme"])
+        found = found.select("batch", "ref", "lexeme", "tf").join(self._lengths(), ["batch", "ref"])
         return staged(found.select("namespace", "prop_id", "session_id", "lexeme", "tf", "dl"), "keyword-hits")
 
     def statistics(self) -> DataFrame:
-        return statistics(self._active("lengths"))
+        return statistics(self._lengths())
 
 
 def new_id() -> str:
