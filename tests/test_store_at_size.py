@@ -63,3 +63,22 @@ def test_an_older_index_is_renewed(spark, tmp_path):
     want = keyword.keyword_scores(q, keyword.RowIndex(table, "english"), analyzer="english")
     got = keyword.keyword_scores(q, S.StoredIndex(store, "ns"), analyzer="english")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+
+
+def test_english_words_of_few_texts_are_objects_at_once(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weftgraph.functions import text as T
+
+    texts = pa.array([f"cats were running by {i} " + "dogs slept " * 200 for i in range(4000)] + [None, ""])
+    tracemalloc.start()
+    got = T._english(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[7].as_py()[:3] == ["cat", "run", "7"] and len(got[7]) == 403 and got[4000].as_py() == got[4001].as_py() == []
+    assert peak < 4e6, peak  # 4,000 lists of 403 references are 12.9 MB
+    assert T._english(texts.slice(0, 0)).type == got.type
+    keyword.row_words(rows(spark, {"text": "x"}), "english")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ PROMPT_VERSION = "v1"
 #: Words are runs of letters and digits of any script.
 TOKEN = r"[\p{L}\p{N}]+"
 _WORD = re.compile(r"[^\W_]+")
+#: Texts whose words a worker holds as objects at once.
+SLICE = 64
 
 
 def english_lexemes(text: str | None) -> list[str]:
@@ -21,14 +23,17 @@ def english_lexemes(text: str | None) -> list[str]:
     return [stem(w) for w in _WORD.findall((text or "").lower()) if w not in STOP_WORDS]
 
 
-def _english(texts: pd.Series) -> pd.Series:
-    return texts.map(english_lexemes)
+def _english(texts: pa.Array) -> pa.Array:
+    """english_lexemes of each text; the words of few texts at a time are objects, the others are in Arrow's buffers."""
+    kind = pa.list_(pa.string())
+    parts = [pa.array([english_lexemes(x) for x in texts.slice(at, SLICE).to_pylist()], kind) for at in range(0, len(texts), SLICE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
 
 def lexemes(text: Column, analyzer: str = "simple") -> Column:
     """Lexemes of a text in order. "simple" stays in the JVM; "english" drops stop words and stems."""
     if analyzer == "english":
-        return F.pandas_udf(_english, "array<string>")(text)
+        return F.arrow_udf(_english, "array<string>")(text)
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import counted, lexemes
-from weftgraph.sources.shared import few, staged
+from weftgraph.sources.shared import bounded, few, staged
 
 K1, B = 1.2, 0.75
 SCORE_DIGITS = 9
@@ -29,7 +29,7 @@ class KeywordIndex(Protocol):
 
 def row_words(rows: DataFrame, analyzer: str = "simple") -> DataFrame:
     """(namespace, prop_id, session_id, words) of each row."""
-    return rows.select("namespace", F.col("id").alias("prop_id"), "session_id", lexemes(F.col("text"), analyzer).alias("words"))
+    return bounded(rows).select("namespace", F.col("id").alias("prop_id"), "session_id", lexemes(F.col("text"), analyzer).alias("words"))
 
 
 def postings(rows: DataFrame, analyzer: str = "simple") -> DataFrame:

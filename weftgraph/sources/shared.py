@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: Texts and hashes, most of what is written, take two thirds of what Spark's default codec leaves.
 CODEC = "zstd"
+#: Bytes of an Arrow batch: what a Python worker is sent at once. A longer row is one batch.
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,12 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, for whose session Arrow batches are bounded by BATCH_BYTES from now on; Spark by itself allows 64 MB."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
